@@ -3,13 +3,14 @@
 Every document is the set of its distinct n-word shingles. Equal sets fall together first. The rest is filtered by the
 prefix principle under one global order of shingles, rare ones first: two sets of similarity p share a shingle among
 the first ``n - ceil(p n) + 1`` of each. The order comes from a sketch of bounded size that counts all shingles of all
-documents; any order gives the same links, a good one fewer candidates.
+documents; any order gives the same links, a good one fewer candidates. With SHARED - 1 shingles more in each prefix
+similar sets share SHARED of them, which chance hardly gives.
 
 Documents that share a prefix shingle are compared with the smallest doc_id among them, their pivot. Similar documents
 become groups, one per best pivot; the matrix holds (shingle, group) for the union of each group's prefixes. A query
-document whose prefix shares nothing with a group's union, or whose size is out of a group's range, cannot reach the
-required overlap with any of its members, so only the other groups are opened, in blocks of bounded size, and never for
-a document that is already connected to all of it.
+document whose prefix shares fewer than SHARED shingles with a group's union, or whose size is out of a group's range,
+cannot reach the required overlap with any of its members, so only the other groups are opened, in blocks of bounded
+size, and never for a document that is already connected to all of it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from sonoglyph.llm.store import cut, table
 #: log2 of the number of counters of the sketch, and the number of rows in which each task sends its own.
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
+#: Prefix shingles that similar sets must share; sets of fewer shingles share all they must.
+SHARED = 3
 #: Members of a group that one block opens at most.
 BLOCK = 256
 
@@ -36,7 +39,7 @@ def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         shift, seen = np.uint64(64 - SKETCH_BITS), False
         for batch in batches:
-            for s in T.slices(batch.column("text"), 4 * T.SLICE_BYTES):
+            for s in T.slices(batch.column("text")):
                 _, grams = T.ngrams(T.words(s), size)
                 counts += np.bincount((grams >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
                 seen = True
@@ -82,7 +85,8 @@ def _describe(sketch, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                     m = count[row] = len(own)
                     if m:
                         prints[row] = np.array([own.sum(dtype=np.uint64), T.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
-                        first = m - (percent * m + 99) // 100 + 1
+                        least = (percent * m + 99) // 100
+                        first = m - least + min(SHARED, least)
                         prefixes[row] = own[np.lexsort((own, order[(own >> shift).astype(np.int64)]))[:first]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -136,6 +140,12 @@ def _open(size: int, percent: int):
     return run
 
 
+def _least_shared(n: str, percent: int) -> Column:
+    """Prefix shingles that a set of n shares with any set that is similar to it."""
+    smaller = F.floor((percent * F.col(n) + 99) / 100)
+    return F.least(F.lit(SHARED), F.floor((percent * smaller + 99) / 100))
+
+
 def _fits(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of sizes a and b can be similar at all."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -162,9 +172,13 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     chosen = described.join(classes.select(F.col("first").alias("doc_id"), *(F.col(c).alias(f"_{c}") for c in prints)), "doc_id")
     chosen = chosen.where(" and ".join(f"{c} = _{c}" for c in prints)).dropDuplicates(["doc_id"])
     postings = chosen.select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("shingle"))
+    many = postings.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("shingle")
+    postings = cut(postings.join(many, "shingle"), "jaccard-postings")
+    enough = postings.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _least_shared("n", percent)).select("doc_id")
+    postings = postings.join(enough, "doc_id", "left_semi")
     lists = postings.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.max("doc_id").alias("last")).where("p.doc_id < last")
     lists = lists.select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    listed = cut(postings.join(lists, "shingle"), "jaccard-postings")
+    listed = cut(postings.join(lists, "shingle"), "jaccard-lists")
 
     texts = docs.join(listed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = cut(texts, "jaccard-texts")
@@ -187,7 +201,8 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     asks = tagged.select("shingle", "doc_id", "n", "component", F.col("grp").alias("own")).join(matrix, "shingle")
     asks = asks.where("low <> component or high <> component").where(f"100 * n >= {percent} * n_min and 100 * n_max >= {percent} * n")
     # within its own group a document that its pivot already links need not ask: the others do
-    asks = asks.where("own <> grp or component <> own").groupBy("grp", "doc_id").agg(F.first("component").alias("component"))
+    asks = asks.where("own <> grp or component <> own").groupBy("grp", "doc_id").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n_min")).alias("least"))
+    asks = cut(asks.where(F.col("c") >= _least_shared("least", percent)).select("grp", "doc_id", "component"), "jaccard-asks")
     members = tagged.select("grp", "doc_id", "component").distinct().join(asks.select("grp").distinct(), "grp", "left_semi")
     blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))

@@ -56,17 +56,25 @@ class Slice:
         return len(self.offsets) - 1
 
 
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if texts.type == pa.large_string() else np.int32
+    bounds = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return bounds, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     """The texts of an Arrow column, null as empty, in runs of about ``most`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.type not in (pa.string(), pa.large_string()):
+        texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
         return
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    bounds, raw = _buffers(texts)
+    if texts.null_count and np.diff(bounds)[np.asarray(texts.is_null())].any():
+        bounds, raw = _buffers(texts.fill_null(""))
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
