@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sonoglyph.llm.store import cut, table
+from sonoglyph.llm.store import cut, free_name, table
 
 #: Lines that a run must have to count as a copy.
 MIN_LINES = 2
@@ -79,19 +79,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     line; a null doc_id is left as it is. No rows, no rows. Columns named like the added ones are replaced.
     """
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "longest")]
+    docs = docs.select(*keep, "text")
+    id_, late, longest, kept_ = (free_name(docs, x) for x in ("_run_id", "_run_late", "_run_longest", "_run_kept"))
     runs = repeated_runs(docs.where("doc_id is not null").select("doc_id", "text"))
-    marks = runs.groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("late") & (F.col("lines") == 2), F.col("at"))).alias("_late"), F.max("lines").alias("_longest"))
+    marks = runs.groupBy(F.col("doc_id").alias(id_)).agg(
+        F.collect_set(F.when(F.col("late") & (F.col("lines") == 2), F.col("at"))).alias(late), F.max("lines").alias(longest))
     lines = F.split("text", "\n", -1)
-    gone = lambda i: F.array_contains("_late", i) | F.array_contains("_late", i - 1)
-    joined = docs.withColumnRenamed("doc_id", "_doc").join(marks.withColumnRenamed("doc_id", "_id"), F.col("_doc") == F.col("_id"), "left").withColumnRenamed("_doc", "doc_id")
-    kept = F.when(F.size("_late") > 0, F.filter(lines, lambda x, i: ~gone(i)))
-    out = joined.withColumn("_kept", kept)
+    gone = lambda i: F.array_contains(late, i) | F.array_contains(late, i - 1)
+    joined = docs.join(marks, F.col("doc_id") == F.col(id_), "left")
+    out = joined.withColumn(kept_, F.when(F.size(late) > 0, F.filter(lines, lambda x, i: ~gone(i))))
     return out.select(
-        *[c for c in keep], F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
+        *keep, F.when(F.col(kept_).isNull(), F.col("text")).otherwise(F.array_join(kept_, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_deleted"),
-        F.coalesce("_longest", F.lit(0)).cast("long").alias("longest"))
+        F.when(F.col(kept_).isNull(), 0).otherwise(F.size(lines) - F.size(kept_)).cast("long").alias("n_deleted"),
+        F.coalesce(longest, F.lit(0)).cast("long").alias("longest"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
