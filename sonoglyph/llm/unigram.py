@@ -22,6 +22,8 @@ from sonoglyph.llm.tokens import Remembered, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁".encode()
+#: Distinct units whose paths are found together.
+UNITS = 4096
 #: How far below the least score an unknown character is.
 UNKNOWN_PENALTY = 10.0
 
@@ -211,7 +213,8 @@ class UnigramCodec:
         before[offsets[:-1][np.diff(offsets) > 0]] = False
         start = np.flatnonzero(space & ~before)
         end = np.append(start[1:], len(data))[: len(start)]
-        ids, bounds = self.known.ids_of(data, start, end, lambda units: viterbi(self.model, [u.replace(b" ", MARKER) for u in units]))
+        ids, bounds = self.known.ids_of(data, start, end, lambda units: [
+            ids for i in range(0, len(units), UNITS) for ids in viterbi(self.model, [u.replace(b" ", MARKER) for u in units[i : i + UNITS]])])
         return ids, bounds[np.searchsorted(start, offsets)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +233,7 @@ def _encode(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = UnigramCodec(sent.value)
         for batch in batches:
-            for s in T.slices(batch.column("text"), 2 * T.SLICE_BYTES):
+            for s in T.slices(batch.column("text")):
                 ids, bounds = codec.encode(s)
                 data, offsets = codec.decode(ids, bounds)
                 pieces = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
