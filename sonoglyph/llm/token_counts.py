@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonoglyph.llm import text as T
 from sonoglyph.llm.store import new_path, table
-from sonoglyph.llm.tokens import WordEncoder, vocabulary
+from sonoglyph.llm.tokens import vocabulary, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 #: Above every id of the vocabulary; its two bytes are one character of UTF-8, so a text writer can end a record with them.
@@ -29,9 +29,9 @@ BLOCK = 1 << 18
 
 def _records(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shifts = WordEncoder(path), np.arange(ID_TOKENS - 1, -1, -1, dtype=np.uint64) * ID_BITS
+        encoder, shifts = word_encoder(path), np.arange(ID_TOKENS - 1, -1, -1, dtype=np.uint64) * ID_BITS
         for batch in batches:
-            for s in T.slices(batch.column("text"), 2 * T.SLICE_BYTES):
+            for s in T.slices(batch.column("text")):
                 ids, bounds = encoder.encode(s)
                 doc = np.array(batch.column("doc_id").slice(s.first, s.n_docs), np.int64).view(np.uint64)
                 heads = ((doc[:, None] >> shifts) & np.uint64((1 << ID_BITS) - 1)).astype(">u2") + FIRST_ID

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -91,6 +92,12 @@ class WordEncoder:
         return ids, bounds[np.searchsorted(start, s.offsets)]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: what it remembers serves the next one."""
+    return WordEncoder(path)
+
+
 class Remembered:
     """Ids of distinct byte strings, by hash."""
 
