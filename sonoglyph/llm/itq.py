@@ -24,6 +24,9 @@ SAMPLE = 20_000
 ITERATIONS = 30
 SEED = 7
 COSINE = 0.95
+#: Bytes of a code that a table's key has at most, whatever the number of vectors: codes that differ in up to 6 of 8 bytes
+#: meet. Larger buckets are what the pairs of parts of a bucket are for.
+KEY_BYTES = 2
 #: Vectors of a bucket that one block holds at most, of each of two parts.
 BLOCK = 512
 
@@ -157,6 +160,11 @@ def _begins(t: pa.Table) -> np.ndarray:
     return out
 
 
+def key_width(n: int, n_bytes: int) -> int:
+    """Bytes of a key for ``n`` vectors: one for few, whose buckets are small as it is, else KEY_BYTES."""
+    return min(n_bytes, KEY_BYTES, max(1, round(np.log2(max(n, 2)) / 8)))
+
+
 def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, sample: int = SAMPLE, key_bytes: int | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding).
 
@@ -164,7 +172,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, sample: int = SA
     vec_id reachable by links, kept is whether that is the vector's own. Null and zero vectors, those with null or
     non-finite components and those of another length than the sample's first link with nothing. Rows that repeat a
     vec_id share its links and do not link with one another. No rows, no rows; other columns are not read.
-    ``key_bytes``: bytes of a code that a table's key has; by default as many as give each vector a bucket.
+    ``key_bytes``: bytes of a code that a table's key has; by default ``key_width``.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "embedding")
@@ -174,7 +182,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, sample: int = SA
     if not len(units_):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     n_bytes = -(-units_.shape[1] // 8)
-    key_bytes = key_bytes or min(n_bytes, max(1, round(np.log2(max(n, 2)) / 8)))
+    key_bytes = key_bytes or key_width(n, n_bytes)
     choices = list(combinations(range(n_bytes), key_bytes))
     rotation = spark.sparkContext.broadcast(learn_rotation(units_))
     coded = cut(vectors.mapInArrow(_codes(rotation), "vec_id long, code binary, unit binary"), "itq-codes")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from sonoglyph.llm import compact_windows as W
+from sonoglyph.llm import compact_windows as W, itq
 
 
 def text(rng, n, words=10**6):
@@ -39,3 +39,22 @@ def test_previous_over_range_borders():
     out = list(W._previous(iter([pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows, strict=True)], names)])))
     got = pa.Table.from_batches(out).to_pylist()
     assert [(r["source"], r["doc_id"]) for r in got] == [(W._HEAD, 1), (2, 3), (W._END, 3)]
+
+
+# -- 8 -------------------------------------------------------------------------------------------------------------
+
+
+def test_recall_of_default_keys_at_every_size():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation = itq.learn_rotation(x[:5_000])
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    for cosine in (0.951, 0.96, 0.97):
+        y = cosine * x + np.sqrt(1 - cosine**2) * off
+        same = (np.packbits(x @ rotation >= 0, axis=1) == np.packbits(y @ rotation >= 0, axis=1)).sum(1)
+        got = {n: float((same >= itq.key_width(n, 8)).mean()) for n in (1_000, 2**13, 2**21, 2**30, 2**40)}
+        print(cosine, got)
+        assert min(got.values()) >= 0.9
