@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Text bytes that one kernel call takes; a longer text is one call of its own.
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_tables: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 256
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,19 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _tables[name] = np.cumprod(table, dtype=np.uint64)
-    up, down = _tables["up"][:n], _tables["down"][:n]
-    if n > 8 * SLICE_BYTES:  # one very long text: do not keep its tables
-        _tables["up"], _tables["down"] = up[: SLICE_BYTES + 1].copy(), down[: SLICE_BYTES + 1].copy()
-    return up, down
-
-
 @dataclass
 class Slice:
     """Some texts of a batch: ``first`` is the row of the first one, ``offsets`` bound each text in ``data``."""
@@ -98,12 +86,41 @@ def fold_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; beyond the end there are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each byte span."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """A hash of each byte span: its 8-byte lanes are mixed in one after another; long spans are hashed by xxh3."""
+    lanes, size = _lanes(data), end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    go = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at = 0
+    while len(go):
+        left = size[go] - at
+        out[go] = mix(out[go] ^ (lanes[start[go] + at] & _KEEP[np.minimum(left, 8)]))
+        go, at = go[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def spans_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each byte span holds the same bytes as its other one."""
+    lanes, size = _lanes(data), end - start
+    out = size == other_end - other_start
+    go = np.flatnonzero(out & (start != other_start))
+    at = 0
+    while len(go):
+        left = size[go] - at
+        keep = _KEEP[np.clip(left, 0, 8)]
+        same = (lanes[start[go] + at] & keep) == (lanes[other_start[go] + at] & keep)
+        out[go[~same]] = False
+        go, at = go[same & (left > 8)], at + 8
+    return out
 
 
 def is_space(data: np.ndarray) -> np.ndarray:

@@ -88,7 +88,7 @@ class WordEncoder:
     def encode(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and the bounds of each text's."""
         data, start, end = self._units(s)
-        ids, bounds = self.known.ids_of(data, start, end, lambda units: self._encode([u.decode("utf-8") for u in units]))
+        ids, bounds = self.known.ids_of(data, start, end, lambda units: self._encode([u.decode("utf-8", "replace") for u in units]))
         return ids, bounds[np.searchsorted(start, s.offsets)]
 
 
@@ -99,30 +99,32 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class Remembered:
-    """Ids of distinct byte strings, by hash."""
+    """Ids of distinct byte strings, by the bytes themselves; hashes only find equal ones together."""
 
     def __init__(self) -> None:
-        self.hash, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.row: dict[bytes, int] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units of ``data``, and the bounds of each unit's; ``encode`` gets those not seen before."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        hashes, first, unit = np.unique(T.spans_hash(data, start, end), return_index=True, return_inverse=True)
-        if len(self.hash) > REMEMBERED:
+        _, first, unit = np.unique(T.spans_hash(data, start, end), return_index=True, return_inverse=True)
+        if not T.spans_equal(data, start, end, start[first[unit]], end[first[unit]]).all():  # different units of one hash
+            first = unit = np.arange(len(start))
+        if len(self.row) > REMEMBERED:
             self.__init__()
-        fresh = ~np.isin(hashes, self.hash, assume_unique=True)
-        if fresh.any():
-            raw = data.tobytes()
-            found = encode([raw[start[i] : end[i]] for i in first[fresh]])
+        raw = data.tobytes()
+        units = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        fresh = list(dict.fromkeys(u for u in units if u not in self.row))
+        if fresh:
+            found = encode(fresh)
             size = np.array([len(x) for x in found], np.int64)
-            all_hashes = np.concatenate([self.hash, hashes[fresh]])
-            order = np.argsort(all_hashes, kind="stable")
-            self.hash = all_hashes[order]
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])[order]
-            self.size = np.concatenate([self.size, size])[order]
+            self.row.update(zip(fresh, range(len(self.row), len(self.row) + len(fresh)), strict=True))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, *found])
-        at = np.searchsorted(self.hash, hashes)[unit]
+        at = np.array([self.row[u] for u in units], np.int64)[unit]
         size = self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])
         return self.ids[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])], total

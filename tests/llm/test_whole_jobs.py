@@ -58,3 +58,39 @@ def test_recall_of_default_keys_at_every_size():
         got = {n: float((same >= itq.key_width(n, 8)).mean()) for n in (1_000, 2**13, 2**21, 2**30, 2**40)}
         print(cosine, got)
         assert min(got.values()) >= 0.9
+
+
+# -- hashes ----------------------------------------------------------------------------------------------------------
+
+
+def thue_morse(n):
+    """Two different words of n letters that polynomials modulo a power of 2 do not tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_different_words_stay_different(spark, docs):
+    from collections import Counter
+
+    from sonoglyph.llm import jaccard_join as J, packing as P, quality_rules as Q, text as T, token_counts as C, unigram as U
+    from sonoglyph.llm.tokens import WordEncoder, vocabulary
+
+    for n in (8, 64, 128, 1024, 2048):
+        a, b = thue_morse(n)
+        (s,) = T.slices(pa.array([a, b, a]))
+        assert T.spans_hash(s.data, s.offsets[:-1], s.offsets[1:]).tolist().count(T.spans_hash(s.data, s.offsets[:1], s.offsets[1:2])[0]) == 2
+        equal = T.spans_equal(s.data, s.offsets[[0, 0, 0]], s.offsets[[1, 1, 1]], s.offsets[:-1], s.offsets[1:])
+        assert equal.tolist() == [True, False, True]
+        e = WordEncoder(vocabulary(P.VOCABULARY))
+        ids, bounds = e.encode(s)
+        assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:], strict=False)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b, a)]
+    a, b = thue_morse(1024)
+    rows = [(1, f"{a}\n{b}"), (2, f"x {a}"), (3, f"x {b}"), (4, f"{b}\n{a}\n{b}")]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in Q.quality_rules(docs(rows), labels).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert all(r["component_id"] == r["doc_id"] for r in J.jaccard_join(docs(rows), size=3, percent=90).collect())
+    assert {r["doc_id"]: r["decoded"] for r in U.encode(docs(rows)).collect()} == dict(rows)
+    e = WordEncoder(vocabulary(C.VOCABULARY)).tokenizer
+    path = C.new_path(spark, "test-tokens")
+    C.write_token_files(docs(rows), path)
+    assert Counter(map(tuple, C.scan_token_files(spark, path).collect())) == Counter((i, len(e.encode(t, add_special_tokens=False).ids)) for i, t in rows)
