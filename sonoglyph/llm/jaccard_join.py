@@ -23,15 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sonoglyph.llm import text as T
 from sonoglyph.llm.graph import components
-from sonoglyph.llm.store import cut, table
+from sonoglyph.llm.store import cut, discard, table
 
 #: log2 of the number of counters of the sketch, and the number of rows in which each task sends its own.
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
 #: Prefix shingles that similar sets must share; sets of fewer shingles share all they must.
 SHARED = 3
-#: Members of a group that one block opens at most.
+#: Members of a group that one block opens at most, and documents that about one part of a pivot or block compares with it.
 BLOCK = 256
+PART = 2048
 
 
 def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -84,7 +85,7 @@ def _describe(sketch, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                 for row, own in T.shingle_sets(s, size):
                     m = count[row] = len(own)
                     if m:
-                        prints[row] = np.array([own.sum(dtype=np.uint64), T.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
+                        prints[row] = _print(own)
                         least = (percent * m + 99) // 100
                         first = m - least + min(SHARED, least)
                         prefixes[row] = own[np.lexsort((own, order[(own >> shift).astype(np.int64)]))[:first]].view(np.int64)
@@ -95,47 +96,65 @@ def _describe(sketch, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _print(own: np.ndarray) -> np.ndarray:
+    """Two sums that stand for a set."""
+    return np.array([own.sum(dtype=np.uint64), T.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
+
+
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and set of the texts of a batch that have the set they are wanted for: of rows that repeat a doc_id, one text counts."""
+    wanted = batch.column("print_a").to_numpy()
+    for s in T.slices(batch.column("text")):
+        for row, own in T.shingle_sets(s, size):
+            if _print(own)[0] == wanted[row]:
+                yield row, own
+
+
 def _overlaps(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shared shingles of each pair of texts; rows of one pivot come together, so its set is kept."""
+    """Shared shingles of each document with its pivot; a pivot comes before the documents of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            shared, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            pivots = batch.column("pivot").to_pylist()
-            for s in T.slices(batch.column("text")):
-                for row, other in T.shingle_sets(s, size):
-                    if pivots[row] != pivot:
-                        pivot, own = pivots[row], _set(batch.column("pivot_text")[row], size)
-                    shared[row] = len(np.intersect1d(own, other, assume_unique=True))
-                    total[row] = len(own) + len(other) - shared[row]
-            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("doc_id"), pa.array(shared), pa.array(total)], ["pivot", "doc_id", "shared", "total"])
+            rows, shared, total = [], [], []
+            pivots, asks = batch.column("grp").to_pylist(), batch.column("asks").to_pylist()
+            for row, other in _sets(batch, size):
+                if not asks[row]:
+                    pivot, own = pivots[row], other
+                elif pivots[row] == pivot:
+                    rows.append(row)
+                    shared.append(len(np.intersect1d(own, other, assume_unique=True)))
+                    total.append(len(own) + len(other) - shared[-1])
+            out = batch.select(["grp", "doc_id"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["pivot", "doc_id", "shared", "total"])
 
     return run
 
 
-def _set(value: pa.Scalar, size: int) -> np.ndarray:
-    return next(own for s in T.slices(pa.array([value.as_py()], pa.large_string())) for _, own in T.shingle_sets(s, size))
-
+def _open(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of a block's members, which come first, with its queries that are in other components."""
 
-def _open(size: int, percent: int):
-    """Links of a block's members with its queries that are in other components."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_u, out_v = [], []
-        if left.num_rows and right.num_rows:
-            sets = [own for s in T.slices(left.column("text")) for _, own in T.shingle_sets(s, size)]
-            sizes = np.array([len(x) for x in sets])
-            flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            ids, parts = np.array(left.column("doc_id")), np.array(left.column("component"))
-            for s in T.slices(right.column("text")):
-                for row, own in T.shingle_sets(s, size):
-                    shared = np.add.reduceat(np.isin(flat, own, assume_unique=False).astype(np.int64), starts)
-                    close = 100 * shared >= percent * (sizes + len(own) - shared)
-                    close &= parts != right.column("component")[row].as_py()
-                    out_u += ids[close].tolist()
-                    out_v += [right.column("doc_id")[row].as_py()] * int(close.sum())
-        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets, ids, parts, flat, starts, sizes = None, [], [], [], None, None, None
+        for batch in batches:
+            out_u, out_v = [], []
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("grp", "block", "part")), strict=True))
+            asks, docs, components_ = (batch.column(k).to_pylist() for k in ("asks", "doc_id", "component"))
+            for row, own in _sets(batch, size):
+                if keys[row] != block:
+                    block, sets, ids, parts, flat = keys[row], [], [], [], None
+                if not asks[row]:
+                    sets.append(own), ids.append(docs[row]), parts.append(components_[row])
+                elif sets:
+                    if flat is None:
+                        sizes = np.array([len(x) for x in sets])
+                        flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    shared = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                    for i in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)):
+                        if parts[i] != components_[row]:
+                            out_u.append(ids[i]), out_v.append(docs[row])
+            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -157,8 +176,8 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     Words are runs of other than ASCII white space, A to Z in lower case; a text of fewer than ``size`` words has its
     whole sequence as its one shingle. Documents link when ``100 * shared >= percent * union``; component_id is the
     smallest doc_id reachable by links. Null, empty and blank texts have no shingle and link with nothing. Shingles are
-    64-bit hashes. Rows that repeat a doc_id are one document with one text each; doc_id must not be null (such a row
-    comes back as its own null component). An empty table gives no rows; other columns are not read.
+    64-bit hashes. Of rows that repeat a doc_id the one of the least set links, the others as far as their sets
+    are equal to others; a row of null doc_id comes back as its own null component. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -169,57 +188,62 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     classes = cut(described.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("first")), "jaccard-classes")
 
     # Posting lists of more than one class: each document with its list's pivot.
-    chosen = described.join(classes.select(F.col("first").alias("doc_id"), *(F.col(c).alias(f"_{c}") for c in prints)), "doc_id")
-    chosen = chosen.where(" and ".join(f"{c} = _{c}" for c in prints)).dropDuplicates(["doc_id"])
-    postings = chosen.select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("shingle"))
+    one = described.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*prints, "prefix")).alias("s")).select("doc_id", "s.*")
+    chosen = one.join(classes, [*prints]).where("doc_id = first")
+    postings = chosen.select("doc_id", "print_a", F.col("n_shingles").alias("n"), F.explode("prefix").alias("shingle"))
     many = postings.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("shingle")
     postings = cut(postings.join(many, "shingle"), "jaccard-postings")
     enough = postings.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _least_shared("n", percent)).select("doc_id")
-    postings = postings.join(enough, "doc_id", "left_semi")
-    lists = postings.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.max("doc_id").alias("last")).where("p.doc_id < last")
-    lists = lists.select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    listed = cut(postings.join(lists, "shingle"), "jaccard-lists")
-
-    texts = docs.join(listed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = cut(texts, "jaccard-texts")
-
-    # Everyone against its pivots.
-    pairs = listed.where((F.col("doc_id") != F.col("pivot")) & _fits(F.col("n"), F.col("pivot_n"), percent)).select("pivot", "doc_id").distinct()
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    kept = postings.join(enough, "doc_id", "left_semi")
+    lists = kept.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "print_a")).alias("p"), F.max("doc_id").alias("last")).where("p.doc_id < last")
+    lists = lists.select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.print_a").alias("pivot_print"))
+    listed = cut(kept.join(lists, "shingle"), "jaccard-lists")
+    discard(postings)
+
+    # Everyone against its pivots: a text goes once to each of its pivots, a pivot's text once to each part of its documents.
+    pairs = listed.where((F.col("doc_id") != F.col("pivot")) & _fits(F.col("n"), F.col("pivot_n"), percent))
+    pairs = pairs.groupBy(F.col("pivot").alias("grp"), "doc_id").agg(F.min("print_a").alias("print_a"), F.min("pivot_print").alias("pivot_print"))
+    sizes = pairs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.min("pivot_print").alias("pivot_print"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    heads = sizes.select("grp", every("parts").alias("part"), F.lit(False).alias("asks"), F.col("grp").alias("doc_id"), F.col("pivot_print").alias("print_a"))
+    asking = pairs.drop("pivot_print").join(sizes.select("grp", "parts"), "grp").select("grp", own("parts").alias("part"), F.lit(True).alias("asks"), "doc_id", "print_a")
+    both = docs.join(heads.union(asking), "doc_id").repartition("grp", "part").sortWithinPartitions("grp", "part", "asks")
     compared = cut(both.mapInArrow(_overlaps(size), "pivot long, doc_id long, shared long, total long"), "jaccard-pivots")
     links = compared.where(f"100 * shared >= {percent} * total").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v"))
     reached = components(links)
 
     # Groups by best pivot; the matrix of shingles and groups; groups that a document must open.
     best = compared.where("2 * shared >= total").groupBy("doc_id").agg(F.min_by("pivot", F.struct(-F.col("shared") / F.col("total"), F.col("pivot"))).alias("grp"))
-    nodes = listed.select("doc_id", "n").distinct().join(best, "doc_id", "left").join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    nodes = cut(nodes.select("doc_id", "n", F.coalesce("grp", "doc_id").alias("grp"), F.coalesce("component", "doc_id").alias("component")), "jaccard-nodes")
+    nodes = listed.select("doc_id", "n", "print_a").distinct().join(best, "doc_id", "left").join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    nodes = cut(nodes.select("doc_id", "n", "print_a", F.coalesce("grp", "doc_id").alias("grp"), F.coalesce("component", "doc_id").alias("component")), "jaccard-nodes")
     tagged = listed.select("shingle", "doc_id").join(nodes, "doc_id")
     open_lists = tagged.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("shingle")
     tagged = cut(tagged.join(open_lists, "shingle"), "jaccard-matrix")
     matrix = tagged.groupBy("shingle", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    asks = tagged.select("shingle", "doc_id", "n", "component", F.col("grp").alias("own")).join(matrix, "shingle")
+    asks = tagged.select("shingle", "doc_id", "n", "print_a", "component", F.col("grp").alias("own")).join(matrix, "shingle")
     asks = asks.where("low <> component or high <> component").where(f"100 * n >= {percent} * n_min and 100 * n_max >= {percent} * n")
     # within its own group a document that its pivot already links need not ask: the others do
-    asks = asks.where("own <> grp or component <> own").groupBy("grp", "doc_id").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n_min")).alias("least"))
-    asks = cut(asks.where(F.col("c") >= _least_shared("least", percent)).select("grp", "doc_id", "component"), "jaccard-asks")
-    members = tagged.select("grp", "doc_id", "component").distinct().join(asks.select("grp").distinct(), "grp", "left_semi")
-    blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    asks = asks.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = [F.col(c).alias(c) for c in ("grp", "block", "doc_id", "component", "text")]
-    left = members.join(texts, "doc_id").select(*columns).groupBy("grp", "block")
-    right = asks.join(texts, "doc_id").select(*columns).groupBy("grp", "block")
-    more = left.cogroup(right).applyInArrow(_open(size, percent), "u long, v long")
+    asks = asks.where("own <> grp or component <> own").groupBy("grp", "doc_id", "print_a").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n_min")).alias("least"))
+    asks = cut(asks.where(F.col("c") >= _least_shared("least", percent)).select("grp", "doc_id", "print_a", "component"), "jaccard-asks")
+    opened = asks.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    members = tagged.select("grp", "doc_id", "print_a", "component").distinct().join(opened, "grp")
+    blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("parts").alias("parts"))
+    members = members.drop("parts").join(blocks, "grp").select("grp", own("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("asks"), "doc_id", "print_a", "component")
+    asking = asks.join(blocks, "grp").select("grp", every("blocks").alias("block"), own("parts").alias("part"), F.lit(True).alias("asks"), "doc_id", "print_a", "component")
+    place = ["grp", "block", "part"]
+    both = docs.join(members.union(asking), "doc_id").repartition(*place).sortWithinPartitions(*place, "asks")
+    more = both.mapInArrow(_open(size, percent), "u long, v long")
     parts = nodes.select(F.col("doc_id").alias("u"), F.col("component").alias("cu"))
     more = cut(more.distinct(), "jaccard-opened")
+    discard(listed, tagged, asks)
     joined = more.join(parts, "u").join(parts.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     merged = components(joined)
 
     final = nodes.select("doc_id", "component").join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
     final = final.select(F.col("doc_id").alias("first"), F.coalesce("top", "component").alias("top"))
     classed = classes.join(final, "first", "left").select(*prints, F.coalesce("top", "first").alias("top"))
-    return described.drop("prefix").join(classed, prints, "left").select("doc_id", "n_shingles", F.coalesce("top", "doc_id").alias("component_id"))
+    return described.drop("prefix").join(classed, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
