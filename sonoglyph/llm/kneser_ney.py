@@ -1,32 +1,33 @@
 """Operator 9, quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's symbols are code points: the most frequent ones of trusted text, one symbol for all others and one for a
-text's edge, 64 in all. Its 4-gram counts are kept sharded by context; joins of counts with their contexts' totals, and
-of each order with the next lower one, give the interpolated probabilities. With this alphabet all probabilities are
-64**4 numbers, so what every scoring task gets is bounded whatever the corpus, while the counts that are shuffled for
-them grow with it. A document's perplexity is compared with a quantile of the held-out trusted documents of its
-language: half of the trusted text trains the model, the other half sets the thresholds.
+The model's symbols are UTF-16 code units, all of them, and a text's edge, so that a 4-gram is one 64-bit number whatever
+the script. Trusted text gives a table of 4-gram counts, sharded by n-gram; joins of counts with their contexts' totals,
+and of each order with the next lower one, give interpolated probabilities. Nothing of the model is collected or sent to
+all tasks: documents lie in chunks of bounded size, each chunk asks for its distinct 4-grams, the asked 4-grams are
+joined with the model's shards order by order, and what each chunk asked for comes back to it and is summed up by
+document. A document's perplexity is compared with a quantile of the held-out trusted documents of its language: half of
+the trusted text trains the model, the other half sets the thresholds.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sonoglyph.llm import text as T
-from sonoglyph.llm.store import cut, table
+from sonoglyph.llm.store import cut, discard, table
 
 ORDER = 4
-SYMBOLS = 64
-EDGE, OTHER = 0, SYMBOLS - 1
-#: Trusted documents that choose the alphabet, at most; everything else uses all of them.
-ALPHABET_LIMIT = 20_000
+#: Bits of a symbol. The edge is U+FFFF, which is no character.
+BITS = 16
+SYMBOLS = 1 << BITS
+EDGE = SYMBOLS - 1
+#: Characters of a chunk, about; a longer text is a chunk of its own.
+CHUNK = 1 << 24
 #: Quantile of the perplexity of held-out trusted documents, by language.
 QUANTILE = 0.995
 #: Held-out documents of a language below which all languages' quantile is used.
@@ -37,33 +38,17 @@ LEAST_DISCOUNT = 0.01
 STEP = 1e-4
 
 
-def _code_points(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of a slice, and the bounds of each text among them."""
-    points = np.frombuffer(s.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    return points, np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])[s.offsets]
-
-
-def _alphabet_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0x110000, np.int64)
-    for batch in batches:
-        for s in T.slices(batch.column("text")):
-            points, _ = _code_points(s)
-            found = np.bincount(points)
-            counts[: len(found)] += found
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["point", "n"])
-
-
-def _keys(s: T.Slice, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
     """The 4-gram that ends at each symbol of each text and at its end edge, and the bounds of each text's."""
-    points, bounds = _code_points(s)
+    parts = [s.data[a:b].tobytes().decode("utf-8", "replace").encode("utf-16-le") for a, b in zip(s.offsets, s.offsets[1:], strict=False)]
+    sizes = np.array([len(p) // 2 for p in parts], np.int64)
+    units, bounds = np.frombuffer(b"".join(parts), "<u2"), np.concatenate([[0], np.cumsum(sizes)])
     pad = ORDER - 1
-    line = np.full(len(points) + s.n_docs * pad + pad, EDGE, np.int64)
-    doc = np.repeat(np.arange(s.n_docs), np.diff(bounds))
-    line[np.arange(len(points)) + (doc + 1) * pad] = symbol[points]
+    line = np.full(len(units) + s.n_docs * pad + pad, EDGE, np.uint64)
+    line[np.arange(len(units)) + (np.repeat(np.arange(s.n_docs), sizes) + 1) * pad] = units
     key = line[pad:].copy()
     for i in range(1, ORDER):
-        key += line[pad - i : len(line) - i] << (6 * i)
+        key |= line[pad - i : len(line) - i] << np.uint64(BITS * i)
     # of the edges after a text only the first is predicted
     ends = bounds[1:] + np.arange(s.n_docs) * pad
     keep = np.ones(len(key), bool)
@@ -72,59 +57,77 @@ def _keys(s: T.Slice, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], bounds + np.arange(s.n_docs + 1)
 
 
-def _count(symbols) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = np.frombuffer(symbols.value, np.uint8).astype(np.int64)
-        counts = np.zeros(SYMBOLS**ORDER, np.int32)
-        for batch in batches:
-            for s in T.slices(batch.column("text")):
-                key, n = np.unique(_keys(s, symbol)[0], return_counts=True)
-                counts[key] += n.astype(np.int32)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(counts[at[i : i + 100_000]].astype(np.int64))], ["key", "c"])
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    """Texts that travelled compressed."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else expand(x) for x in batch.column("packed").to_pylist()], pa.binary()).cast(pa.large_binary()).view(pa.large_string())
 
-    return run
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_string()).view(pa.large_binary())
+        packed = pa.array([None if x is None else compress(x) for x in texts.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), packed], [*(c for c in batch.schema.names if c != "text"), "packed"])
 
-_dense: dict[int, np.ndarray] = {}
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column packed, the text compressed on its own, in place of text: less to shuffle."""
+    rest = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
+    return docs.select(*rest, "text").mapInArrow(_pack, f"{kinds}, packed binary")
 
-def _table(packed: bytes) -> np.ndarray:
-    """All log-probabilities from the shards: those of counted 4-grams, else what a context leaves times the lower order's."""
-    key = zlib.crc32(packed)
-    if key not in _dense:
-        shards = pickle.loads(packed)
-        _dense.clear()
-        log_p = _spread(shards)
-        log_p[shards["keys"]] = shards["log_p"]
-        _dense[key] = log_p
-    return _dense[key]
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in T.slices(_texts(batch)):
+            key, n = np.unique(_keys(s)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "c"])
 
-def _spread(shards: dict[str, np.ndarray]) -> np.ndarray:
-    out = np.empty((SYMBOLS, SYMBOLS ** (ORDER - 2), SYMBOLS), np.float32)
-    lower = np.log(shards["lower"]).astype(np.float32).reshape(-1, SYMBOLS)
-    left = np.log(shards["left"]).astype(np.float32).reshape(SYMBOLS, -1)
-    for first in range(SYMBOLS):
-        out[first] = lower + left[first][:, None]
-    return out.ravel()
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct 4-grams of each chunk; rows come chunk by chunk."""
 
-def _score(symbols, shards) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = np.frombuffer(symbols.value, np.uint8).astype(np.int64)
-        log_p = _table(shards.value)
-        for batch in batches:
-            total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for s in T.slices(batch.column("text")):
-                key, bounds = _keys(s, symbol)
-                rows = slice(s.first, s.first + s.n_docs)
-                total[rows] = np.add.reduceat(log_p[key].astype(np.float64), bounds[:-1])
-                count[rows] = np.diff(bounds) - 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(count), pa.array(total)], ["doc_id", "lang", "n_symbols", "log_prob"])
+    def out(chunk: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.unique(np.concatenate(found))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk)), pa.array(key.view(np.int64))], ["chunk", "key"])
 
-    return run
+    now, found = None, []
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        for s in T.slices(_texts(batch)):
+            key, bounds = _keys(s)
+            own = chunks[s.first : s.first + s.n_docs]
+            for at in np.split(np.arange(s.n_docs), np.flatnonzero(np.diff(own)) + 1):
+                if own[at[0]] != now and found:
+                    yield out(now, found)
+                    found = []
+                now = own[at[0]]
+                found.append(np.unique(key[bounds[at[0]] : bounds[at[-1] + 1]]))
+                if len(found) > 32:
+                    found = [np.unique(np.concatenate(found))]
+    if found:
+        yield out(now, found)
+
+
+def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Log-probability and number of symbols of each document of a chunk."""
+    key = answers.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    key, log_p = key[order], answers.column("log_p").to_numpy()[order]
+    out = []
+    for batch in texts.to_batches():
+        total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        for s in T.slices(_texts(batch)):
+            asked, bounds = _keys(s)
+            rows = slice(s.first, s.first + s.n_docs)
+            total[rows] = np.add.reduceat(log_p[np.searchsorted(key, asked)], bounds[:-1])
+            count[rows] = np.diff(bounds) - 1
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(count), pa.array(total)], _SCORED))
+    return pa.Table.from_batches(out, pa.schema(list(zip(_SCORED, [pa.int64(), pa.string(), pa.int64(), pa.float64()], strict=True))))
+
+
+_SCORED = ["doc_id", "lang", "n_symbols", "log_prob"]
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -137,108 +140,88 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(i - (i + 1) * y * n[i + 1] / n[i], LEAST_DISCOUNT), float(i)) if n[i] else float(i) / 2 for i in (1, 2, 3)]
 
 
-def _terms(counts: DataFrame, d: list[float]) -> DataFrame:
-    """Each n-gram's discounted share of its context and the weight that its context leaves to the lower order."""
-    shift = F.shiftright("key", 6)
-    context = counts.groupBy(shift.alias("context")).agg(
-        F.sum("c").alias("total"),
-        *(F.count_if(F.col("c") == i if i < 3 else F.col("c") >= 3).alias(f"k{i}") for i in (1, 2, 3)))
-    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    joined = counts.withColumn("context", shift).join(context, "context")
-    left = sum((F.lit(d[i - 1]) * F.col(f"k{i}") for i in (1, 2, 3)), F.lit(0.0)) / F.col("total")
-    return joined.select("context", "key", (F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total")).alias("share"), left.alias("left"))
-
-
-def _fill(share: np.ndarray, left: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of all n-grams of some contexts; a context without counts leaves all to the lower order."""
-    return share.reshape(-1, SYMBOLS) + left[:, None] * lower.reshape(-1, SYMBOLS)
+def _suffix(n: int) -> Column:
+    """The last n symbols of an n-gram."""
+    return F.col("key").bitwiseAND((1 << BITS * n) - 1)
 
 
-def _shard(lower) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """One shard of the model: its counted 4-grams with their log-probabilities, and what its contexts leave."""
-        first, wide = int(rows["shard"].iloc[0]), SYMBOLS ** (ORDER - 2)
-        left = np.ones(wide)
-        left[rows["context"] - first * wide] = rows["left"]
-        below = np.frombuffer(lower.value, np.float64)[rows["key"] & (SYMBOLS ** (ORDER - 1) - 1)]
-        log_p = np.log(rows["share"] + rows["left"] * below).to_numpy(np.float32)
-        return pd.DataFrame({"shard": [first], "keys": [rows["key"].to_numpy(np.int32).tobytes()], "log_p": [log_p.tobytes()], "left": [left.tobytes()]})
+def model(trusted_text: DataFrame) -> dict[int, tuple[DataFrame, list[float]]]:
+    """Tables of counts by order, each with its discounts: 4-grams of ``trusted_text`` (packed), and below the highest
+    order in how many contexts an n-gram was seen."""
+    counts = {ORDER: cut(trusted_text.mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "kneser-ney")}
+    for n in range(ORDER - 1, 0, -1):
+        counts[n] = cut(counts[n + 1].groupBy(_suffix(n).alias("key")).agg(F.count(F.lit(1)).alias("c")), "kneser-ney")
+    return {n: (c, _discounts(c)) for n, c in counts.items()}
 
-    return run
 
+def probabilities(asked: DataFrame, counts: dict[int, tuple[DataFrame, list[float]]], n: int = ORDER) -> DataFrame:
+    """(key, p) of each distinct n-gram of ``asked`` (key): its discounted share of its context, plus what the context
+    leaves times the probability of the next lower order; a context without counts leaves all."""
+    if n == 0:
+        return asked.select("key", F.lit(1.0 / SYMBOLS).alias("p"))
+    seen, d = counts[n]
+    context = F.shiftrightunsigned("key", BITS)
+    left = sum((F.lit(d[i - 1]) * F.count_if(F.col("c") == i if i < 3 else F.col("c") >= 3) for i in (1, 2, 3)), F.lit(0.0)) / F.sum("c")
+    contexts = seen.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), left.alias("left"))
+    lower = probabilities(asked.select(_suffix(n - 1).alias("key")).distinct(), counts, n - 1).select(F.col("key").alias("suffix"), F.col("p").alias("below"))
+    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+    share = F.coalesce(F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total"), F.lit(0.0))
+    rows = asked.select("key", context.alias("context"), _suffix(n - 1).alias("suffix"))
+    joined = rows.join(seen, "key", "left").join(contexts, "context", "left").join(lower, "suffix")
+    return joined.select("key", (share + F.coalesce("left", F.lit(1.0)) * F.col("below")).alias("p"))
 
-def model(docs: DataFrame, trusted: DataFrame):
-    """Broadcasts of the symbol of each code point and of the shards of the model, at most 8 bytes for each of 64**4 4-grams."""
-    spark = docs.sparkSession
-    few = F.broadcast(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ALPHABET_LIMIT).select("doc_id"))
-    points = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_alphabet_counts, "point long, n long")
-    top = points.groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()
-    symbol = np.full(0x110000, OTHER, np.uint8)
-    for i, r in enumerate(top):
-        symbol[r["point"]] = 1 + i
-    symbols = spark.sparkContext.broadcast(symbol.tobytes())
 
-    # by a shuffle at every size: labels have no bound that would allow a broadcast
-    text = docs.join(trusted.where("fits").select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
-    counts = {ORDER: cut(text.mapInArrow(_count(symbols), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "kneser-ney")}
-    for n in range(ORDER - 1, 0, -1):  # below the highest order, in how many contexts an n-gram was seen
-        counts[n] = counts[n + 1].groupBy(F.col("key").bitwiseAND(SYMBOLS**n - 1).alias("key")).agg(F.count(F.lit(1)).alias("c"))
-    terms = {n: _terms(counts[n], _discounts(counts[n])) for n in counts}
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    for n in range(1, ORDER):
-        rows = terms[n].toPandas()  # at most 64**3
-        share, left = np.zeros(SYMBOLS**n), np.ones(SYMBOLS ** (n - 1))
-        share[rows["key"]] = rows["share"]
-        left[rows["context"]] = rows["left"]
-        lower = _fill(share, left, np.tile(lower, SYMBOLS ** (n - 1) // (len(lower) // SYMBOLS))).ravel()
-    sent = spark.sparkContext.broadcast(lower.tobytes())
-    made = terms[ORDER].withColumn("shard", F.shiftright("context", 6 * (ORDER - 2))).groupBy("shard").applyInPandas(_shard(sent), "shard long, keys binary, log_p binary, left binary")
-    rows, left = made.collect(), np.ones((SYMBOLS, SYMBOLS ** (ORDER - 2)))  # a row for each first symbol
-    for r in rows:
-        left[r["shard"]] = np.frombuffer(r["left"], np.float64)
-    packed = {
-        "keys": np.frombuffer(b"".join(r["keys"] for r in rows), np.int32), "log_p": np.frombuffer(b"".join(r["log_p"] for r in rows), np.float32),
-        "left": left.ravel(), "lower": lower}
-    return symbols, spark.sparkContext.broadcast(pickle.dumps(packed))
-
-
-def kneser_ney(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, least_held_out: int = LEAST_HELD_OUT) -> DataFrame:
+def kneser_ney(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, least_held_out: int = LEAST_HELD_OUT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, kept) of every row of ``docs`` (doc_id, text, lang).
 
-    Perplexity is per code point, over the whole text and its end. A null or empty text has null perplexity and is not
-    kept. A null language, and one with fewer than ``least_held_out`` held-out trusted documents, takes the threshold of
-    all languages together; without any, everything with text is kept. Repeated rows each give
-    a row; other columns are not read.
+    Perplexity is per UTF-16 code unit, over the whole text and its end; bytes that are no UTF-8 count as U+FFFD. A null or
+    empty text has null perplexity and is not kept. A null language, and one with fewer than ``least_held_out`` held-out
+    trusted documents, takes the threshold of all languages together; without any, everything with text is kept. Repeated
+    rows each give a row; other columns are not read.
     """
-    docs = docs.select("doc_id", "text", "lang")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     trusted = trusted.withColumn("fits", F.pmod(F.xxhash64(F.lit("fits"), "doc_id"), F.lit(2)) == 0)
-    symbols, shards = model(docs, trusted)
-    scored = cut(docs.mapInArrow(_score(symbols, shards), "doc_id long, lang string, n_symbols long, log_prob double"), "perplexity")
-    step = F.when(F.col("n_symbols") > 0, F.ceil(-F.col("log_prob") / (F.col("n_symbols") + 1) / STEP))
-    scored = scored.withColumn("step", step)
-    held = scored.where("step is not null").join(trusted.where("not fits").select("doc_id"), "doc_id", "left_semi")
-    bins = held.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a few thousand steps a language
-    floors = _quantiles(bins, quantile, least_held_out)
-    known = docs.sparkSession.createDataFrame([(k, v) for k, v in floors.items()], "lang string, most long")
-    rest = floors.get("*")
-    joined = scored.join(F.broadcast(known.where("lang <> '*'").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")
-    most = F.coalesce("most", F.lit(rest).cast("long"))
+
+    # by a shuffle at every size: labels have no bound that would allow a broadcast
+    fits = docs.where("text <> ''").where(F.pmod(F.xxhash64(F.lit("fits"), "doc_id"), F.lit(2)) == 0).select("doc_id", "text")
+    counts = model(_packed(fits).join(trusted.where("fits").select("doc_id").hint("merge"), "doc_id", "left_semi").select("packed"))
+
+    n_chunks = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk))
+    placed = _packed(docs.where("text <> ''").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))))
+    # all of the rest is one job: its exchange of texts serves what chunks ask for and what they do with the answers,
+    # that of what was asked serves the model's joins and the way back
+    placed = placed.repartition(min(n_chunks, MOST_TASKS), "chunk")
+    asked = placed.sortWithinPartitions("chunk").mapInArrow(_asked, "chunk long, key long").repartition(min(n_chunks, MOST_TASKS), "key")
+    answers = probabilities(asked.select("key").distinct(), counts).select("key", F.ln("p").alias("log_p"))
+    back = asked.join(answers, "key").select("chunk", "key", "log_p")
+    scored = placed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score, "doc_id long, lang string, n_symbols long, log_prob double")
+    empty = docs.where("text is null or text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_prob"))
+    scored = cut(scored.union(empty), "perplexity")
+    discard(*(c for c, _ in counts.values()))
+    return _verdicts(scored, trusted, quantile, least_held_out)
+
+
+#: Tasks that chunks are dealt to at most; more chunks share tasks.
+MOST_TASKS = 20_000
+
+
+def _verdicts(scored: DataFrame, trusted: DataFrame, quantile: float, least_held_out: int) -> DataFrame:
+    mean = -F.col("log_prob") / (F.col("n_symbols") + 1)
+    scored = scored.withColumn("step", F.when(F.col("n_symbols") > 0, F.ceil(mean / STEP)))
+    held = scored.where("step is not null").join(trusted.where("not fits").select("doc_id"), "doc_id", "left_semi").select("lang", "step")
+    held = cut(held.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")), "held-out")
+    at = F.expr(f"cast(percentile(step, {quantile!r}, n) as double)")
+    rest = held.agg(at.alias("most")).first()["most"]
+    # the step that is reached at the quantile: percentile interpolates, so what lies between two steps is the upper one
+    known = held.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"), F.ceil(at).alias("most")).where(f"n >= {int(least_held_out)}").select("_lang", "most")
+    joined = scored.join(known, F.col("lang") == F.col("_lang"), "left")
+    most = F.coalesce("most", F.lit(None if rest is None else int(np.ceil(rest))).cast("long"))
     return joined.select(
-        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_prob") / (F.col("n_symbols") + 1))).alias("perplexity"),
+        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(mean)).alias("perplexity"),
         F.exp(most * STEP).alias("threshold"), F.coalesce(F.col("step") <= F.coalesce(most, F.col("step")), F.lit(False)).alias("kept"))
 
 
-def _quantiles(bins: pd.DataFrame, quantile: float, least: int) -> dict[str, int]:
-    """The step at the quantile, by language and for all of them (``*``); languages of few documents are left out."""
-    def at(rows: pd.DataFrame) -> int:
-        rows = rows.groupby("step")["n"].sum().sort_index()
-        return int(rows.index[int(np.searchsorted(rows.cumsum(), quantile * rows.sum()))])
-
-    out = {lang: at(rows) for lang, rows in bins.groupby("lang") if rows["n"].sum() >= least}
-    return out | ({"*": at(bins)} if len(bins) else {})
-
-
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

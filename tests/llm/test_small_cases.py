@@ -305,9 +305,10 @@ def test_vectors(spark):
 # -- 9 -------------------------------------------------------------------------------------------------------------
 
 
-def kneser_ney_by_hand(train, alphabet, t):
+def kneser_ney_by_hand(train, t):
     """log-probability of a text, by the definition."""
-    code = lambda x: [0] * 3 + [alphabet.get(c, K.OTHER) for c in x] + [0]
+    units = lambda x: np.frombuffer(x.encode("utf-16-le"), "<u2").tolist()
+    code = lambda x: [K.EDGE] * 3 + units(x) + [K.EDGE]
     counts = {4: Counter()}
     for x in train:
         c = code(x)
@@ -337,25 +338,34 @@ def kneser_ney_by_hand(train, alphabet, t):
         return (max(v - d[n][min(v, 3) - 1], 0) / total if v else 0) + left * p(g[1:])
 
     c = code(t)
-    return sum(math.log(p(tuple(c[i : i + 4]))) for i in range(len(c) - 3))
+    return sum(math.log(p(tuple(c[i : i + 4]))) for i in range(len(c) - 3)), len(units(t))
 
 
 def test_kneser_ney(spark, docs):
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "mat", "é"]) for _ in range(rng.randrange(3, 30)))) for i in range(80)] + [(200, "### $$$ QQQQ zzz"), (201, None), (202, "")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    made = docs(rows)
-    got = {r["doc_id"]: r for r in K.kneser_ney(made, labels, least_held_out=5).collect()}
+    words = {"en": ["the", "cat", "sat", "on", "mat", "\u00e9"], "zh": ["\u6570\u636e", "\u8bed\u8a00", "\u5927\u89c4\u6a21", "\u6a21\u578b", "\U00020000", "\u3002"]}
+    schema = "doc_id long, text string, lang string, chunk string, c int"
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(3, 30))), lang, "x", 1) for lang, start in (("en", 0), ("zh", 300)) for i in range(start, start + 80)]
+    rows += [(200, "### $$$ QQQQ zzz", "en", "x", 1), (201, None, "en", "x", 1), (202, "", None, "x", 1), (203, "the cat sat", None, "x", 1), (380, "\u9f98\u9750\u9f49\u7228\u7c72\u9ea4", "zh", "x", 1), (None, "the cat sat on", "en", "x", 1), (0, rows[0][1], "en", "x", 1)]
+    made = spark.createDataFrame(rows, schema).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(60), *range(300, 360)]], "doc_id long, quality int, toxic int")
+    texts = {i: t for i, t, *_ in rows}
     fits = {r[0] for r in labels.where(F.pmod(F.xxhash64(F.lit("fits"), "doc_id"), F.lit(2)) == 0).select("doc_id").collect()}
-    texts = dict(rows)
-    letters = Counter("".join(texts[i] for i in range(60)))
-    alphabet = {c: 1 + k for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0])))}
-    for i in (0, 5, 61, 70, 200):
-        want = math.exp(-kneser_ney_by_hand([texts[k] for k in fits], alphabet, texts[i]) / (len(texts[i]) + 1))
-        assert got[i]["perplexity"] == pytest.approx(want, rel=1e-4)
-    assert not got[200]["kept"] and not got[201]["kept"] and not got[202]["kept"] and sum(got[i]["kept"] for i in range(80)) >= 70
+    train = [texts[k] for k in fits] + ([texts[0]] if 0 in fits else [])
+    for chunk in (200, K.CHUNK):
+        found = K.kneser_ney(made, labels, least_held_out=5, chunk=chunk).collect()
+        got = {r["doc_id"]: r for r in found}
+        assert len(found) == len(rows)
+        for i in (0, 5, 61, 70, 200, 301, 340, 375, 380):
+            log_p, n = kneser_ney_by_hand(train, texts[i])
+            assert got[i]["perplexity"] == pytest.approx(math.exp(-log_p / (n + 1)), rel=1e-6) and got[i]["n_symbols"] == n
+        assert not any(got[i]["kept"] for i in (200, 201, 202, 380)) and got[None]["kept"] and got[203]["kept"]
+        assert sum(got[i]["kept"] for i in [*range(80), *range(300, 380)]) >= 140
+        held = {lang: sorted(got[i]["perplexity"] for i in [*range(start, start + 60)] if i not in fits) for lang, start in (("en", 0), ("zh", 300))}
+        for lang, i in (("en", 5), ("zh", 301)):  # a threshold of its own for each language, near the largest held-out one
+            assert held[lang][-2] * 0.999 <= got[i]["threshold"] <= held[lang][-1] * 1.001
     assert K.kneser_ney(docs([]), labels).count() == 0
-    assert K.kneser_ney(made, labels.where("false")).where("kept").count() == 81
+    assert K.kneser_ney(made, labels.where("false")).where("kept").count() == len(rows) - 2
 
 
 # -- 10 ------------------------------------------------------------------------------------------------------------
