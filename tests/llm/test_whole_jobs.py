@@ -33,12 +33,67 @@ def test_copies_of_variants_among_copies(spark, docs):
     assert {d for d, _ in pairs} >= {i for i, _ in rows if i % 100 not in (1, 15)}
 
 
-def test_previous_over_range_borders():
-    names = ["v", "source", "doc_id", "place"]
-    rows = [(7, 1, 1, 5), (7, 1, 2, 6), (7, 1, 3, 7)]
-    out = list(W._previous(iter([pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows, strict=True)], names)])))
-    got = pa.Table.from_batches(out).to_pylist()
-    assert [(r["source"], r["doc_id"]) for r in got] == [(W._HEAD, 1), (2, 3), (W._END, 3)]
+def test_copies_among_unrelated_documents(spark, docs):
+    """Documents that hold the passage's single shingles in another order come before its copies and between them."""
+    for before, between in ((1, 1), (3, 3)):
+        rng = random.Random(10 * before)
+        passage = text(rng, 60)
+        words = passage.split()
+        shingles = [" ".join(words[i : i + 5]) for i in range(56)]
+        ids = iter(range(-5, 1000))
+        rows = [(next(ids), " ".join(rng.sample(shingles, 56))) for _ in range(before)]
+        copies = []
+        for k in range(100):
+            copies.append(next(ids))
+            rows.append((copies[-1], text(rng, 40) + " " + passage + " " + text(rng, 40)))
+            if k == 50:
+                rows += [(next(ids), " ".join(rng.sample(shingles, 56))) for _ in range(between)]
+        found = {r["doc_id"] for r in W.find_passages(docs(rows)).collect() if r["start_word"] <= 40 and r["end_word"] >= 100}
+        assert len(found & set(copies[1:])) >= 98 and copies[0] not in found
+
+
+def test_negative_ids_and_repeated_rows(spark, docs):
+    rng = random.Random(4)
+    passage, other = text(rng, 80), text(rng, 90)
+    rows = [(-5, passage), (-4, "x " + passage), (7, passage), (7, passage), (8, other), (8, None), (9, other + " y")]
+    found = {(r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in W.find_passages(docs(rows)).collect()}
+    assert (-4, -5, 1, 81) in found and (9, 8, 0, 90) in found and {d for d, *_ in found} == {-4, 7, 9}
+    long = " ".join(f"u{i}" for i in range(60_000))
+    found = W.find_passages(docs([(1, long), (2, long), (3, "word " * 5_000), (4, "word " * 5_000)])).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in found} == {(2, 1), (4, 3)} and max(r["end_word"] for r in found) == 60_000
+
+
+def test_chain_over_batches():
+    names = W._MADE
+    rng = np.random.default_rng(5)
+    n = 300
+    v, sig, doc = rng.integers(0, 6, n) * 8, rng.integers(0, 4, n), rng.integers(-20, 20, n)
+    place = sig << W._SIGNATURE | rng.integers(0, 9, n) << W._C
+    order = np.lexsort((place, doc, sig, v))
+    v, sig, doc, place = v[order], sig[order], doc[order], place[order]
+    none = pa.array([None] * n, pa.int64())
+    whole = pa.RecordBatch.from_arrays([pa.array(v), pa.array(doc), pa.array(place), none, none], names)
+
+    def pairs(step):
+        out = pa.Table.from_batches(list(W._chain(iter([whole.slice(i, step) for i in range(0, n, step)]))))
+        return sorted(map(tuple, (r.values() for r in out.to_pylist())))
+
+    want = []
+    for g in np.unique(v):
+        rows = [(int(s), int(d), int(p)) for w, s, d, p in zip(v, sig, doc, place, strict=True) if w == g]
+        firsts = [next(r for r in rows if r[:2] == k) for k in dict.fromkeys(r[:2] for r in rows)]
+        for r in rows:
+            lead, k = next(x for x in rows if x[0] == r[0]), [x[:2] for x in firsts].index(r[:2])
+            partners = [(lead, True)]
+            if k and firsts[k - 1][1] != lead[1]:
+                partners.append((firsts[k - 1], False))
+            if r[:2] == lead[:2] and lead[0] != rows[0][0]:
+                partners.append((rows[0], False))
+            for x, led in partners:
+                if x[1] != r[1]:
+                    a, b = sorted((x, r), key=lambda y: y[1])
+                    want.append((a[1], b[1], led, int(g & 7), b[2], a[2]))
+    assert pairs(n) == pairs(1) == pairs(7) == sorted(want)
 
 
 # -- 8 -------------------------------------------------------------------------------------------------------------
