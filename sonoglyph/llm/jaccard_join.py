@@ -32,7 +32,7 @@ SKETCH_ROWS = 64
 SHARED = 3
 #: Members of a group that one block opens at most, and documents that about one part of a pivot or block compares with it.
 BLOCK = 256
-PART = 2048
+PART = 256
 
 
 def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
