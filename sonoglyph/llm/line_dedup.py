@@ -1,19 +1,23 @@
-"""Operator 10, line dedup (DataFrame functions only): repeated runs of lines, found by distributed prefix doubling.
+"""Operator 10, line dedup (DataFrame functions only): maximal repeated runs of lines from a suffix array.
 
 A document is a sequence of line ids. Suffixes are ranked by their first 2, 4, 8 ... lines: each round sorts the pairs
 (rank of a suffix, rank of the suffix that many lines further on) over range partitions and turns their places into the
 next ranks, so that the ranks are the suffix array's order as far as it has come. Suffixes whose rank nobody shares are
 done; the rounds go on with the others and end when none is left, whose number is the logarithm of the longest repeated
-run. Suffixes of equal rank after h lines are an interval of the suffix array whose longest common prefix is at least h:
-within it every suffix but the first in the order of (doc_id, line) starts a later copy of a run. Where such runs overlap
-or touch they are one maximal run; the lines of later copies are deleted.
+run. Suffixes of equal rank are an interval of the suffix array whose longest common prefix is at least so many lines.
+
+From the longest intervals down, lengths between two powers of 2 are found by halving: an interval is parted by the rank
+of what follows its lines, the parts are longer intervals. A part's first suffix in the order of (doc_id, line) stands for
+it in the interval that it was part of, so that every suffix is a later copy in just one interval, the longest in which
+it is not the first. Its run is that interval's lines; runs that no earlier run of the document covers are maximal, and
+their lines are deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sonoglyph.llm.store import cut, free_name, table
+from sonoglyph.llm.store import cut, discard, free_name, table
 
 #: Lines that a run must have to count as a copy.
 MIN_LINES = 2
@@ -33,8 +37,8 @@ def _first_windows(docs: DataFrame) -> DataFrame:
 
 
 def _rank(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds to windows (doc_id, at, *keys) that share their keys with another one: rank, the number of windows before
-    theirs in the order of the keys, and late, whether an earlier window has the same keys. The others go.
+    """Of windows (doc_id, at, *keys) those that share their keys with another one: (doc_id, at, rank, first_doc_id,
+    first_at), where rank is the number of windows before theirs in the order of the keys, and first the earliest of them.
 
     Keys with their counts are sorted by range; a running sum within each range plus the sums of the ranges before it
     is the rank, so no task sees more than its range.
@@ -43,35 +47,77 @@ def _rank(windows: DataFrame, keys: list[str]) -> DataFrame:
     counts = cut(counts.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("range")), "line-keys")
     # a range has one row here; their number is that of the shuffle's partitions
     sums = counts.groupBy("range").agg(F.sum("c").alias("s"))
-    before = sums.alias("x").join(F.broadcast(sums.alias("y")), F.expr("y.range < x.range"), "left").groupBy(F.col("x.range").alias("range")).agg(F.coalesce(F.sum("y.s"), F.lit(0)).alias("before"))
+    before = sums.select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("before"))
     order = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("*", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("within")).join(F.broadcast(before), "range")
+    ranks = counts.select("*", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("within")).join(before, "range")
     ranks = ranks.select(*keys, (F.col("within") + F.col("before")).alias("rank"), "first")
-    joined = windows.join(ranks, keys)
-    return joined.select("doc_id", "at", "rank", (F.struct("doc_id", "at") > F.col("first")).alias("late"))
+    ranked = cut(windows.join(ranks, keys).select("doc_id", "at", "rank", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at")), "line-ranks")
+    discard(counts)
+    return ranked
+
+
+_LATE = "doc_id > first_doc_id or doc_id = first_doc_id and at > first_at"
+_INTERVAL = ["lines", "first_doc_id", "first_at"]
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, rank, late, lines): every suffix that shares at least two lines with another one, its place in the
-    suffix array, whether an earlier suffix shares them, and how many lines (a power of 2) it shares at least."""
-    level = cut(_rank(_first_windows(docs), ["a", "b"]), "line-ranks")
-    lines, found = 2, [level.select("*", F.lit(2).alias("lines"))]
-    while level.limit(1).count():
+def suffix_ranks(docs: DataFrame) -> dict[int, DataFrame]:
+    """By number of lines (2, 4, 8 ...): the suffixes that share so many with another one, see ``_rank``."""
+    levels = {2: _rank(_first_windows(docs), ["a", "b"])}
+    while not levels[lines := max(levels)].isEmpty():
         # windows of twice as many lines: both halves must be shared
+        level = levels[lines].select("doc_id", "at", "rank")
         ahead = level.select("doc_id", (F.col("at") - lines).cast("int").alias("at"), F.col("rank").alias("next"))
-        longer = level.select("doc_id", "at", "rank").join(ahead, ["doc_id", "at"])
-        level = cut(_rank(longer.select("doc_id", "at", F.col("rank").alias("r"), "next"), ["r", "next"]), "line-ranks")
-        lines *= 2
-        found.append(level.select("*", F.lit(lines).alias("lines")))
-    everything = found[0]
-    for more in found[1:]:
-        everything = everything.union(more)
-    return everything
+        levels[2 * lines] = _rank(level.withColumnRenamed("rank", "r").join(ahead, ["doc_id", "at"]), ["r", "next"])
+    return levels
+
+
+def _longer(members: DataFrame, following: DataFrame, more: int) -> DataFrame:
+    """Intervals of ``members`` parted by the ``more`` lines that follow theirs: (doc_id, at, a, b) in ``following``."""
+    rows = members.join(following, (members["doc_id"] == following["_doc_id"]) & (members["at"] + members["lines"] == following["_at"]), "left").drop("_doc_id", "_at")
+    keys = [*_INTERVAL, "a", "b"]
+    parts = cut(rows.where("a is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "at")).alias("part")).where("c > 1").drop("c"), "line-parts")
+    joined = rows.join(parts, keys, "left")
+    stays = F.struct(*_INTERVAL)
+    goes = F.struct((F.col("lines") + more).alias("lines"), F.col("part.doc_id").alias("first_doc_id"), F.col("part.at").alias("first_at"))
+    both = F.when(F.col("part").isNull(), F.array(stays)).when(F.col("part") == F.struct("doc_id", "at"), F.array(stays, goes)).otherwise(F.array(goes))
+    out = cut(joined.select("doc_id", "at", F.explode(both).alias("i")).select("doc_id", "at", "i.*"), "line-intervals")
+    discard(parts)
+    return out
+
+
+def intervals(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, lines, first_doc_id, first_at): suffixes and the intervals of the suffix array that they belong to,
+    ``lines`` lines in common, of which the first is the earliest copy. Each later copy is in one interval."""
+    levels = suffix_ranks(docs)
+    members = None
+    for lines in sorted(levels, reverse=True)[1:]:
+        beyond = levels[2 * lines].where(_LATE).select("doc_id", "at")
+        own = levels[lines].join(beyond, ["doc_id", "at"], "left_anti").select("doc_id", "at", F.lit(lines).alias("lines"), "first_doc_id", "first_at")
+        if lines > 2:
+            following = levels[lines // 2].select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"))
+        else:
+            following = line_ids(docs).select(F.col("doc_id").alias("_doc_id"), F.posexplode("ids").alias("_at", "id")).select("_doc_id", "_at", "id.a", "id.b")
+        made = _longer(own if members is None else members.union(own), following, lines // 2)
+        if members is not None:
+            discard(members)
+        members = made
+        discard(levels.pop(2 * lines))
+    if members is None:
+        return docs.select("doc_id", F.lit(0).alias("at"), F.lit(0).alias("lines"), F.col("doc_id").alias("first_doc_id"), F.lit(0).alias("first_at")).where("false")
+    return members
+
+
+def maximal_runs(found: DataFrame) -> DataFrame:
+    """Of ``intervals`` the later copies whose lines no later copy that begins a line before them has all."""
+    late = found.where(_LATE)
+    before = late.select("doc_id", (F.col("at") + 1).cast("int").alias("at"), (F.col("lines") - 1).cast("int").alias("lines"))
+    return late.join(before, ["doc_id", "at", "lines"], "left_anti")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with later copies of repeated runs of two lines or more deleted from text,
-    and n_lines, n_deleted and longest (lines of the longest shared run found by doubling, a power of 2; 0 without one).
+    and n_lines, n_deleted and longest (lines of the longest run that the text has in common with another place, its own
+    or another document's; 0 without one).
 
     The first copy in the order of (doc_id, line) stays. Lines are what ``\\n`` parts, compared whole. A null text stays
     null and has no line; an empty text is one line and never part of a run. A text that loses all its lines becomes
@@ -80,14 +126,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "longest")]
     docs = docs.select(*keep, "text")
-    id_, late, longest, kept_ = (free_name(docs, x) for x in ("_run_id", "_run_late", "_run_longest", "_run_kept"))
-    runs = repeated_runs(docs.where("doc_id is not null").select("doc_id", "text"))
-    marks = runs.groupBy(F.col("doc_id").alias(id_)).agg(
-        F.collect_set(F.when(F.col("late") & (F.col("lines") == 2), F.col("at"))).alias(late), F.max("lines").alias(longest))
+    id_, runs, longest, kept_ = (free_name(docs, x) for x in ("_run_id", "_runs", "_run_longest", "_run_kept"))
+    found = intervals(docs.where("doc_id is not null").select("doc_id", "text"))
+    copies = maximal_runs(found).groupBy("doc_id").agg(F.collect_list(F.struct("at", "lines")).alias(runs))
+    marks = found.groupBy("doc_id").agg(F.max("lines").alias(longest)).join(copies, "doc_id", "left").withColumnRenamed("doc_id", id_)
     lines = F.split("text", "\n", -1)
-    gone = lambda i: F.array_contains(late, i) | F.array_contains(late, i - 1)
+    gone = lambda i: F.exists(runs, lambda r: (r["at"] <= i) & (i < r["at"] + r["lines"]))
     joined = docs.join(marks, F.col("doc_id") == F.col(id_), "left")
-    out = joined.withColumn(kept_, F.when(F.size(late) > 0, F.filter(lines, lambda x, i: ~gone(i))))
+    out = joined.withColumn(kept_, F.when(F.size(runs) > 0, F.filter(lines, lambda x, i: ~gone(i))))
     return out.select(
         *keep, F.when(F.col(kept_).isNull(), F.col("text")).otherwise(F.array_join(kept_, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
@@ -97,19 +143,26 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return found.select("doc_id", "n_lines", "n_deleted", "longest", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {
     "op10_line_dedup": r"""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 w as (select doc_id, pos, line || chr(10) || lead(line) over (partition by doc_id order by pos) as w from l),
 late as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by w order by doc_id, pos) as k from w where w is not null) where k > 1),
 gone as (select doc_id, pos from late union select doc_id, pos + 1 from late),
 kept as (select l.doc_id, count(*) as n_lines, count(g.pos) as n_deleted,
                 coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as text
-         from l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id)
-select doc_id, n_lines, n_deleted, length(text) as n_chars, md5(text) as text_md5 from kept
+         from l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id),
+id as (select doc_id, pos, dense_rank() over (order by line) as id from l),
+shared(doc_id, pos, cls, n) as (
+  select doc_id, pos, cls, 2 from (select doc_id, pos, dense_rank() over (order by w) as cls, count(*) over (partition by w) as c from w where w is not null) where c > 1
+  union all
+  select doc_id, pos, cls, n + 1 from (select s.doc_id, s.pos, s.n, min(s.doc_id * 1000000 + s.pos) over (partition by s.cls, id.id) as cls, count(*) over (partition by s.cls, id.id) as c
+                                       from shared s join id on id.doc_id = s.doc_id and id.pos = s.pos + s.n) where c > 1),
+long as (select doc_id, max(n) as longest from shared group by doc_id)
+select doc_id, n_lines, n_deleted, coalesce(longest, 0)::bigint as longest, length(text) as n_chars, md5(text) as text_md5 from kept left join long using (doc_id)
 """,
 }

@@ -386,9 +386,31 @@ def test_lines(spark, docs):
     for i, t in rows:
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
         assert (got[i]["text"], got[i]["n_deleted"]) == (want, len(gone.get(i, ())))
-    assert got[51]["longest"] == 4 and D.line_dedup(docs([])).count() == 0
+    # each later suffix has its longest run that an earlier place has too; the first copy is the earliest of those
+    place = {(i, k): t.split("\n")[k:] for i, t in rows if t for k in range(len(t.split("\n")))}
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    best, longest = {}, Counter()
+    for p, x in place.items():
+        for q, y in place.items():
+            n = common(x, y) if p != q else 0
+            if n >= 2:
+                longest[p[0]] = max(longest[p[0]], n)
+                if q < p and (n, (-q[0], -q[1])) > best.get(p, (0, ())):
+                    best[p] = (n, (-q[0], -q[1]))
+    found = D.intervals(docs(rows))
+    runs = {(r["doc_id"], r["at"]): (r["lines"], (-r["first_doc_id"], -r["first_at"])) for r in found.where(D._LATE).collect()}
+    assert runs == best and all(got[i]["longest"] == longest[i] for i, _ in rows)
+    whole = {(r["doc_id"], r["at"], r["lines"]) for r in D.maximal_runs(found).collect()}
+    assert whole == {(*p, n) for p, (n, _) in best.items() if best.get((p[0], p[1] - 1), (0,))[0] != n + 1} and (51, 1, 5) in whole
+    assert D.line_dedup(docs([])).count() == 0
     assert D.line_dedup(docs(ODD)).count() == len(ODD)
-    ranks = D.repeated_runs(docs(rows)).where("lines = 2").groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()
+    ranks = D.suffix_ranks(docs(rows))[2].groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()
     assert all(a["rank"] + a["n"] == b["rank"] for a, b in zip(ranks, ranks[1:], strict=False))
 
 
