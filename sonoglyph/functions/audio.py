@@ -38,8 +38,12 @@ def voiced_bounds(rms: Column, n: Column, size: int, hop: int, pad: int, absolut
     return F.struct(F.when(none, 0).otherwise(start).alias("start"), F.when(none, n).otherwise(stop).alias("stop"))
 
 
+def silence_samples(milliseconds: Column, rate: int) -> Column:
+    return F.floor(milliseconds * rate / 1000)
+
+
 def silence(milliseconds: Column, rate: int) -> Column:
-    return F.array_repeat(F.lit(0).cast("smallint"), F.floor(milliseconds * rate / 1000).cast("int"))
+    return F.array_repeat(F.lit(0).cast("smallint"), silence_samples(milliseconds, rate).cast("int"))
 
 
 def duration_path(durations: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,39 +21,55 @@ def time_ms(value: str) -> int:
     raise ValueError(value)
 
 
-def walk(node: ElementTree.Element, speaker: str | None) -> list[dict]:
-    """Texts and breaks of an element in order; a voice's name holds within it, what follows an element is its parent's."""
-    out: list[dict] = []
+class _Events:
+    """What a document says, in order, as (speaker, text) and, for a break, its length. Elements come as starts and ends; a
+    stack tells whose turn it is, and nothing is said within a break."""
 
-    def say(text: str | None) -> None:
-        if text and text.strip():
-            out.append({"type": "text", "text": text.strip(), "speaker": speaker, "duration_ms": None})
+    def __init__(self) -> None:
+        self.said: list[tuple[str | None, str] | int] = []
+        self.speakers: list[str | None] = []
+        self.waiting, self.breaks = "", 0
 
-    say(node.text)
-    for child in node:
-        if child.tag == "break":
-            out.append({"type": "break", "text": None, "speaker": None, "duration_ms": time_ms(child.get("time", f"{DEFAULT_BREAK_MS}ms"))})
-        else:
-            out += walk(child, (child.get("name") or speaker) if child.tag == "voice" else speaker)
-        say(child.tail)
-    return out
+    def _speak(self) -> None:
+        text, self.waiting = self.waiting.strip(), ""
+        if text and self.speakers and not self.breaks:
+            self.said.append((self.speakers[-1], text))
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        self._speak()
+        if not self.speakers and tag != "speak":
+            raise ValueError(f"root element is {tag}")
+        speaker = self.speakers[-1] if self.speakers else None
+        if tag == "break":
+            if not self.breaks:
+                self.said.append(time_ms(attributes.get("time", f"{DEFAULT_BREAK_MS}ms")))
+            self.breaks += 1
+        self.speakers.append(tag == "voice" and attributes.get("name") or speaker)
+
+    def end(self, tag: str) -> None:
+        self._speak()
+        self.speakers.pop()
+        self.breaks -= tag == "break"
+
+    def data(self, text: str) -> None:
+        self.waiting += text
+
+    def close(self) -> list[dict]:
+        turns = groupby(enumerate(self.said), lambda x: x[0] if isinstance(x[1], int) else ("said", x[1][0]))
+        groups = [[x for _, x in turn] for _, turn in turns]
+        return [
+            {"type": "break", "text": None, "speaker": None, "duration_ms": g[0]} if isinstance(g[0], int)
+            else {"type": "text", "text": " ".join(t for _, t in g), "speaker": g[0][0], "duration_ms": None} for g in groups]
 
 
 def parse_ssml(ssml: str | None) -> tuple[list[dict] | None, str | None]:
     """Segments, adjacent texts of one speaker joined by a space, or an error."""
     if ssml is None or not ssml.strip().startswith("<speak"):
         return None, "no <speak> element"
+    parser = ElementTree.XMLParser(target=_Events())
     try:
-        root = ElementTree.fromstring(ssml.strip())
-        if root.tag != "speak":
-            return None, f"root element is {root.tag}"
-        merged: list[dict] = []
-        for s in walk(root, None):
-            if merged and s["type"] == "text" == merged[-1]["type"] and s["speaker"] == merged[-1]["speaker"]:
-                merged[-1]["text"] += f" {s['text']}"
-            else:
-                merged.append(s)
-        return merged, None
+        parser.feed(ssml.strip())
+        return parser.close(), None
     except (ElementTree.ParseError, ValueError) as e:
         return None, f"bad markup: {e}"
 

@@ -6,10 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from sonoglyph.dims import INCOMPLETE_ENDINGS, LANGUAGES, LONG_CODES, PUNCTUATION, SCRIPTS
-
-#: Scripts other than Latin; a text without a character of them is Latin only.
-OTHER_SCRIPTS = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s != "Latin")
+from sonoglyph.dims import INCOMPLETE_ENDINGS, LANGUAGES, LOCALES, LONG_CODES, PUNCTUATION
 
 
 def strip(text: Column) -> Column:
@@ -64,8 +61,41 @@ def voice_of(code: Column, primary: str = "en-us") -> Column:
 
 
 def effective_language(language: Column, main: Column) -> Column:
-    """The span's language unless it is null, empty or undetermined; then the main one; then English."""
-    return F.coalesce(F.nullif(F.nullif(language, F.lit("und")), F.lit("")), F.nullif(main, F.lit("")), F.lit("en"))
+    """The span's language unless it is null, empty or undetermined; then the main one; then English. In lower case."""
+    return F.lower(F.coalesce(F.nullif(F.nullif(language, F.lit("und")), F.lit("")), F.nullif(main, F.lit("")), F.lit("en")))
+
+
+def language_name(requested: Column) -> Column:
+    """Name of a requested language: ``Auto``, the name of a locale's base, of a code or of a name in any case, else as given."""
+    asked = strip(requested)
+    key, names = F.lower(asked), _map(LANGUAGES | {v.lower(): v for v in LANGUAGES.values()})
+    of_locale = F.when(asked.rlike("[-_]"), F.element_at(_map(LANGUAGES), locale_base(asked)))
+    return F.when(key == "auto", "Auto").otherwise(F.coalesce(of_locale, F.element_at(names, key), asked))
+
+
+def code_error(code: Column) -> Column:
+    """Why a language code is refused: it names no region, or no supported language; null if it is not."""
+    locale, asked = canonical_locale(code), F.lower(strip(code))
+    known = F.element_at(_map(LANGUAGES), locale_base(locale)).isNotNull()
+    return F.when(asked.isin("", "auto"), None).when(~F.contains(locale, F.lit("-")), "no region").when(~known, "unsupported language")
+
+
+def resolved_language(language: Column, code: Column, detected: Column) -> tuple[Column, Column]:
+    """Name and locale of a request: by its code if it has one, else by its language, else by the detected code; an
+    undetected language is ``Auto`` and ``multilingual``. A refused code (``code_error``) gives nulls."""
+    names, locales = _map(LANGUAGES), _map(LOCALES)
+    has_code = F.coalesce(strip(code), F.lit("")) != ""
+    auto_code, asked = F.lower(strip(code)) == "auto", strip(F.coalesce(language, F.lit("")))
+    auto = F.lower(asked).isin("", "auto")
+    name = language_name(asked)
+    by_name = _map({v.lower(): k for k, v in LANGUAGES.items()})
+    base = F.coalesce(F.element_at(by_name, F.lower(name)), locale_base(asked))
+    found = F.coalesce(detected, F.lit(""))
+    return (
+        F.when(has_code & auto_code, "Auto").when(has_code, F.when(code_error(code).isNull(), F.element_at(names, locale_base(code))))
+        .when(auto, F.coalesce(F.element_at(names, found), F.lit("Auto"))).otherwise(name),
+        F.when(has_code & auto_code, "multilingual").when(has_code, F.when(code_error(code).isNull(), canonical_locale(code)))
+        .when(auto, F.coalesce(F.element_at(locales, found), F.lit("multilingual"))).otherwise(F.coalesce(F.element_at(locales, base), F.lit("multilingual"))))
 
 
 def language_weight(text: Column) -> Column:
@@ -74,7 +104,8 @@ def language_weight(text: Column) -> Column:
 
 
 def is_latin_only(text: Column) -> Column:
-    return ~text.rlike(f"[{OTHER_SCRIPTS}]")
+    """Nothing but Latin letters and characters of no script of their own."""
+    return ~text.rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}\p{IsUnknown}]")
 
 
 def has_han_without_kana(text: Column) -> Column:
@@ -116,8 +147,10 @@ def without_flags(phonemes: Column) -> Column:
     return F.regexp_replace(phonemes, r"\([^)]*(\)|$)", "")
 
 
-def is_enabled(value: Column) -> Column:
-    return F.lower(strip(value)).isin("1", "true", "yes", "on")
+def is_enabled(value: Column, default: bool | None = None) -> Column:
+    """Whether a setting is on; a missing one has the default."""
+    on = F.lower(strip(value)).isin("1", "true", "yes", "on")
+    return on if default is None else F.coalesce(on, F.lit(default))
 
 
 def preview(text: Column, most: int = 50) -> Column:

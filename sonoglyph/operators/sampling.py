@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def repetition_penalty(logits: DataFrame, history: DataFrame, key: list[str], penalty: float) -> DataFrame:
@@ -23,7 +23,18 @@ def top_k(logits: DataFrame, key: list[str], k: int) -> DataFrame:
     return logits.withColumn("_r", F.rank().over(Window.partitionBy(*key).orderBy(F.desc("logit")))).where(F.col("_r") <= k).drop("_r")
 
 
+#: The largest 32-bit floating number.
+_MOST = 3.4028234663852886e38
+
+
+def finite(logit: Column) -> Column:
+    """A logit as a finite number: 0 for NaN, the largest or least 32-bit number for an infinity."""
+    return F.when(F.isnan(logit), 0.0).when(logit == float("inf"), _MOST).when(logit == float("-inf"), -_MOST).otherwise(logit)
+
+
 def softmax(logits: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``p``; logits are made finite first."""
+    logits = logits.withColumn("logit", finite(F.col("logit")))
     w = Window.partitionBy(*key)
     e = F.exp(F.col("logit") - F.max("logit").over(w))
     return logits.withColumn("_e", e).withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_e")

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sonoglyph.dims import SCRIPTS
 
-#: A run of one named script, of common or of inherited characters, or one character of anything else.
-RUNS = "(?s)" + "|".join(rf"\p{{Is{s}}}+" for s in [*SCRIPTS, "Common", "Inherited"]) + "|.+?"
+#: A run of one named script, of common or of inherited characters, or one character of anything else; the most frequent first.
+RUNS = "(?s)" + "|".join(rf"\p{{Is{s}}}+" for s in ["Latin", "Common", "Inherited", *(s for s in SCRIPTS if s != "Latin")]) + "|.+?"
 
 
 def script_of(run: Column) -> Column:
     """Script of a run of one script."""
-    ladder = F.when(run.rlike(r"^\p{IsCommon}"), "Common").when(run.rlike(r"^\p{IsInherited}"), "Inherited")
-    for s in SCRIPTS:
+    ladder = F.when(run.rlike(r"^\p{IsLatin}"), "Latin")
+    for s in ["Common", "Inherited", *SCRIPTS[1:]]:
         ladder = ladder.when(run.rlike(rf"^\p{{Is{s}}}"), s)
     return ladder.otherwise("Unknown")
 
@@ -30,8 +30,8 @@ def fill_language(df: DataFrame, key: list[str], order: str = "seq") -> DataFram
     """Adds ``filled``: the language, where it is undetermined that of the last determined span, at the beginning that of the first one."""
     known = F.nullif("language", F.lit("und"))
     up_to = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("filled", F.coalesce(F.last(known, True).over(up_to), F.first(known, True).over(after), F.lit("und")))
+    first = F.min_by(known, F.when(known.isNotNull(), F.col(order))).over(Window.partitionBy(*key))
+    return df.withColumn("filled", F.coalesce(F.last(known, True).over(up_to), first, F.lit("und")))
 
 
 def islands(df: DataFrame, key: list[str], value: str, order: str = "seq") -> DataFrame:
@@ -58,11 +58,9 @@ def merge_languages(df: DataFrame, key: list[str]) -> DataFrame:
 
 def merge_speakers(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """Adjacent texts of one speaker (null is one) joined by a space; a break (null text) parts them and stays."""
-    w = Window.partitionBy(*key).orderBy(order)
     part = F.when(F.col("text").isNull(), F.concat(F.lit("break"), F.col(order).cast("string"))).otherwise(F.concat(F.lit("said"), F.coalesce("speaker", F.lit("\0"))))
     marked = islands(df.withColumn("_part", part), key, "_part", order)
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(F.col(order).alias("o"), "text")))), lambda x: x["text"])
-    del w
     return marked.groupBy(*key, F.col("island").alias("seq")).agg(F.max("speaker").alias("speaker"), F.nullif(F.array_join(texts, " "), F.lit("")).alias("text"), F.count(F.lit(1)).alias("n_parts"))
 
 

@@ -10,26 +10,26 @@ R = Registry()
 
 
 @R.query("""
-with w as (select l_orderkey, l_linenumber as pos, l_partkey % 1000 as ms, (l_partkey % 1000) + 1 + l_suppkey % 40 as me from lineitem where l_linenumber <= 3),
-h as (select l_orderkey, (l_partkey % 1000) + 5 as hs, (l_partkey % 1000) + 15 as he from lineitem where l_linenumber = 1),
+with w as (select l_orderkey, l_linenumber as pos, l_partkey % 1000 as ms, (l_partkey % 1000) + 1 + l_suppkey % 40 as me from lineitem),
+h as (select l_orderkey, (l_partkey % 1000) + 5 as hs, (l_partkey % 1000) + 15 as he from lineitem),
 m as (select l_orderkey, hs, he, min(ms * 10 + pos) as first from h join w using (l_orderkey) where (ms <= hs and hs < me) or (ms < he and he <= me) group by all)
 select l_orderkey, hs, count(*) as n, min(first) as first from m group by all""")
 def overlap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that start or end inside a word's span, joined by range within each order."""
     lines = read(spark, sf_dir, "lineitem")
-    words = lines.where("l_linenumber <= 3").selectExpr("l_orderkey", "l_linenumber as pos", "l_partkey % 1000 as ms", "(l_partkey % 1000) + 1 + l_suppkey % 40 as me")
-    spans = lines.where("l_linenumber = 1").selectExpr("l_orderkey", "(l_partkey % 1000) + 5 as hs", "(l_partkey % 1000) + 15 as he")
+    words = lines.selectExpr("l_orderkey", "l_linenumber as pos", "l_partkey % 1000 as ms", "(l_partkey % 1000) + 1 + l_suppkey % 40 as me")
+    spans = lines.selectExpr("l_orderkey", "(l_partkey % 1000) + 5 as hs", "(l_partkey % 1000) + 15 as he")
     met = spans.join(words, "l_orderkey").where("(ms <= hs and hs < me) or (ms < he and he <= me)")
     return met.groupBy("l_orderkey", "hs", "he").agg(F.min(F.expr("ms * 10 + pos")).alias("first")).groupBy("l_orderkey", "hs").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
 
 
 @R.query("""
-with t as (select conv_id, turn, string_split(role, '') as a, string_split(substr(text, 1, 40), ' ') as b from conversations),
+with t as (select conv_id, turn, string_split(role, '') as a, string_split(text, ' ') as b from conversations),
 z as (select conv_id, turn, list_zip(a[1:least(len(a), len(b))], b[1:least(len(a), len(b))]) as z from t)
 select conv_id, turn, len(z) as n, array_to_string(list_transform(z, lambda x: x[1] || '=' || x[2]), ',') as pairs from z""")
 def word_phoneme_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sequences joined by position, as long as the shorter one."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("role", "").alias("a"), F.split(F.substring("text", 1, 40), " ").alias("b"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("role", "").alias("a"), F.split("text", " ").alias("b"))
     n = F.least(F.size("a"), F.size("b"))
     pairs = F.zip_with(F.slice("a", 1, n), F.slice("b", 1, n), lambda x, y: F.concat(x, F.lit("="), y))
     return rows.select("conv_id", "turn", n.cast("long").alias("n"), F.array_join(pairs, ",").alias("pairs"))
@@ -62,13 +62,13 @@ def timing_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""
 with d as (select conv_id, count(*) as n from conversations group by conv_id)
-select conv_id, n, list_transform(range(n), lambda i: list_transform(range(n), lambda j: j <= i)) as mask, list_transform(range(n), lambda i: list_transform(range(n), lambda j: round(-ln(1 + abs(i - j)), 6))) as bias from d where n <= 12""")
+select conv_id, n, list_transform(range(n), lambda i: list_transform(range(n), lambda j: j <= i)) as mask, list_transform(range(n), lambda i: list_transform(range(n), lambda j: round(-ln(1 + abs(i - j)), 6) + 0.0)) as bias from d""")
 def attention_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The causal mask and the proximal bias of each conversation of up to 12 turns."""
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 12")
+    """The causal mask and the proximal bias of each conversation's turns."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     at = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
     mask = F.transform(at, lambda i: F.transform(at, lambda j: j <= i))
-    bias = F.transform(at, lambda i: F.transform(at, lambda j: F.round(-F.ln(1 + F.abs(i - j)), 6)))
+    bias = F.transform(at, lambda i: F.transform(at, lambda j: F.round(-F.ln(1 + F.abs(i - j)), 6) + 0.0))
     return turns.select("conv_id", "n", mask.alias("mask"), bias.alias("bias"))
 
 

@@ -12,7 +12,7 @@ from sonoglyph.sources.wav import build_wav, parse_wav
 R = Registry()
 
 
-@R.query("select vec_id, 64::bigint as n_samples, 22050 as sample_rate, 16 as bit_depth, true as same, 44 + 2 * 64 as n_bytes from embeddings")
+@R.query("select vec_id, len(embedding) as n_samples, 22050 as sample_rate, 16 as bit_depth, true as same, 44 + 2 * len(embedding) as n_bytes from embeddings")
 def wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as 16-bit files and back."""
     samples = read(spark, sf_dir, "embeddings").select("vec_id", A.to_int16(F.transform("embedding", lambda x: x.cast("double"))).alias("s"))
@@ -22,7 +22,9 @@ def wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-select conv_id, turn, case when turn % 4 = 3 then 0 else 2 + (case when turn % 2 = 0 then 1 else 0 end) end as n_segments, turn % 4 = 3 as failed from conversations""")
+with t as (select conv_id, turn, regexp_replace(text, '[<>&]', ' ', 'g') as t from conversations),
+m as (select conv_id, turn, '<speak>' || t || '<break time="0.5s"/>' || case when turn % 2 = 0 then '<voice name="x">' || t || '</voice>' else '' end || case when turn % 4 = 3 then '' else '</speak>' end as m from t)
+select conv_id, turn, case when ends_with(m, '</speak>') then len(list_filter(regexp_split_to_array(m, '<[^>]*>'), lambda x: trim(x) <> '')) + len(regexp_extract_all(m, '<break')) else 0 end as n_segments, not ends_with(m, '</speak>') as failed from m""")
 def ssml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup made of turns: a text, a break, and on even turns a text of another voice; every fourth is not closed."""
     text = F.regexp_replace("text", "[<>&]", " ")

@@ -14,7 +14,7 @@ _RUNS = "(?s)" + "|".join(rf"\p{{{s}}}+" for s in [*SCRIPTS, "Common", "Inherite
 _MIXED = "translate(text, 'kqy', 'т漢か')"
 _SCRIPT = "case " + " ".join(rf"when regexp_matches(run, '^\p{{{s}}}') then '{s}'" for s in ["Common", "Inherited", *SCRIPTS]) + " else 'Unknown' end"
 _SQL_RUNS = f"""
-with e as (select doc_id, regexp_extract_all({_MIXED}, '{_RUNS}') as runs from documents where length(text) <= 100000),
+with e as (select doc_id, regexp_extract_all({_MIXED}, '{_RUNS}') as runs from documents),
 r as (select doc_id, unnest(runs) as run, unnest(range(len(runs))) as seq from e)
 select doc_id, seq, run, coalesce(sum(length(run)) over b, 0)::bigint as start, (coalesce(sum(length(run)) over b, 0) + length(run))::bigint as "end", {_SCRIPT} as script
 from r window b as (partition by doc_id order by seq rows between unbounded preceding and 1 preceding)"""
@@ -24,7 +24,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.script_runs(read(spark, sf_dir, "documents").select("doc_id", F.expr(_MIXED).alias("text")), ["doc_id"])
 
 
-@R.query(f"with x as ({_SQL_RUNS.replace(' where length(text) <= 100000', '')}) select doc_id, script, count(*) as n_runs, sum(\"end\" - start)::bigint as n_chars, min(start) as first_start from x group by doc_id, script")
+@R.query(f"with x as ({_SQL_RUNS}) select doc_id, script, count(*) as n_runs, sum(\"end\" - start)::bigint as n_chars, min(start) as first_start from x group by doc_id, script")
 def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _runs(spark, sf_dir).groupBy("doc_id", "script")
     return found.agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.min("start").alias("first_start"))
@@ -34,7 +34,7 @@ _LABEL = "case script when 'Latin' then 'en' when 'Cyrillic' then 'ru' when 'Han
 
 
 @R.query(f"""
-with x as ({_SQL_RUNS.replace(' where length(text) <= 100000', '')}),
+with x as ({_SQL_RUNS}),
 l as (select *, {_LABEL} as language from x),
 f as (select *, coalesce(last_value(nullif(language, 'und') ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and current row),
         first_value(nullif(language, 'und') ignore nulls) over (partition by doc_id order by seq rows between current row and unbounded following), 'und') as filled,
@@ -55,14 +55,15 @@ _SPANS = "case when doc_id % 5 = 0 and pos % 2 = 1 then 'fr' when pos % 7 = 3 th
 @R.query(rf"""
 with l as (select doc_id, lang, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
 s as (select doc_id, lang as main, line, {_SPANS} as span from l),
-w as (select doc_id, main, coalesce(nullif(nullif(span, 'und'), ''), nullif(main, ''), 'en') as language, sum(length(regexp_replace(line, '[^\p{{L}}\p{{N}}]+', '', 'g'))) as weight from s group by all),
+w as (select doc_id, main, lower(coalesce(nullif(nullif(span, 'und'), ''), nullif(main, ''), 'en')) as language, sum(length(regexp_replace(line, '[^\p{{L}}\p{{N}}]+', '', 'g'))) as weight from s group by all),
 k as (select * from w where weight > 0 and language in ({_SUPPORTED})),
 t as (select doc_id, sum(weight) as total, count(*) filter (where weight >= greatest(4, trunc(0.20 * total))) as n, max(language) filter (where weight >= greatest(4, trunc(0.20 * total))) as one
       from (select *, sum(weight) over (partition by doc_id) as total from k) group by doc_id)
-select d.doc_id, case when t.n = 1 then t.one when coalesce(t.n, 0) = 0 and d.lang in ({_SUPPORTED}) then d.lang else 'Auto' end as language, coalesce(t.n, 0) as n_prominent
+select d.doc_id, case when t.n = 1 then t.one when t.n is null and lower(d.lang) in ({_SUPPORTED}) then lower(d.lang) else 'Auto' end as language, coalesce(t.n, 0) as n_prominent
 from documents d left join t using (doc_id)""")
 def prominent_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language that alone has a fifth of a text's letters; the flagship: scan, explode, join of weights, window, aggregate."""
+    """The language that alone has a fifth of a text's letters, at least 4; the main one only if no language has any. The
+    flagship: scan, explode, join of weights, aggregate."""
     docs = read(spark, sf_dir, "documents")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     spans = lines.select("doc_id", X.effective_language(F.expr(_SPANS), F.col("lang")).alias("language"), X.language_weight(F.col("line")).alias("weight"))
@@ -71,7 +72,7 @@ def prominent_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     strong = F.filter("w", lambda x: x["weight"] >= F.greatest(F.lit(4), F.floor(F.col("total") * 0.20)))
     found = total.select("doc_id", F.size(strong).alias("n"), F.get(strong, 0)["language"].alias("one"))
     joined = docs.select("doc_id", "lang").join(found, "doc_id", "left")
-    language = F.when(F.col("n") == 1, F.col("one")).when((F.coalesce("n", F.lit(0)) == 0) & F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("Auto")
+    language = F.when(F.col("n") == 1, F.col("one")).when(F.col("n").isNull() & F.lower("lang").isin(*LANGUAGES), F.lower("lang")).otherwise("Auto")
     return joined.select("doc_id", language.alias("language"), F.coalesce("n", F.lit(0)).cast("long").alias("n_prominent"))
 
 

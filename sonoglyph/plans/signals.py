@@ -110,17 +110,18 @@ def duration_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("select event_id, trunc(trunc(value) * 24000 / 1000)::bigint as n_samples from events")
 def silence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.size(A.silence(F.col("value").cast("long"), 24_000)).cast("long").alias("n_samples"))
+    return read(spark, sf_dir, "events").select("event_id", A.silence_samples(F.col("value").cast("long"), 24_000).alias("n_samples"))
 
 
 @R.query(f"""
-with {_W}, a as (select label, unnest(range(64)) as i, unnest(list_transform(embedding, lambda x: x::double)) as x from embeddings where vec_id % 3 <> 0), m as (select label, i, avg(x) as x from a group by all)
-select label, list(round(x, 6) order by i) as pooled from m group by label""")
+with {_W}, a as (select label, unnest(range(64)) as i, unnest(list_transform(embedding, lambda x: x::double)) as x from embeddings where vec_id % 3 <> 0), m as (select label, i, avg(x) as x from a group by all), n as (select *, greatest(sqrt(sum(x * x) over (partition by label)), 1e-12) as norm from m)
+select label, list(round(x / norm, 6) order by i) as pooled from n group by label""")
 def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean vector of each label's rows that are not masked."""
+    """The mean vector of each label's rows that are not masked, of length 1."""
     rows = read(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = rows.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
-    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select("label", F.transform("s", lambda v: v["x"]).alias("pooled"))
+    means = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vectors = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"), F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-12)).alias("norm"))
+    return vectors.select("label", F.transform("s", lambda v: F.round(v["x"] / F.col("norm"), 6)).alias("pooled"))
 
 
 @R.query(f"with {_W} select a.vec_id, round(list_cosine_similarity(a.w, b.w), 6) as score from w a join w b on b.vec_id = a.vec_id + 1")

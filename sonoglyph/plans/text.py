@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoglyph.dims import INCOMPLETE_ENDINGS, LANGUAGES, LONG_CODES, PUNCTUATION, SCRIPTS
+from sonoglyph.dims import INCOMPLETE_ENDINGS, LANGUAGES, LONG_CODES, PUNCTUATION
 from sonoglyph.functions import text as X
 from sonoglyph.plans.registry import Registry, read, sql_rows, sql_string
 
 R = Registry()
-_OTHERS = "".join(rf"\p{{{s}}}" for s in SCRIPTS if s != "Latin")
 
 
 def _replaces(text: str) -> str:
@@ -65,7 +64,7 @@ def voice_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""
-select doc_id, coalesce(nullif(nullif({_CODES}, 'und'), ''), nullif(lang, ''), 'en') as language from documents""")
+select doc_id, lower(coalesce(nullif(nullif({_CODES}, 'und'), ''), nullif(lang, ''), 'en')) as language from documents""")
 def effective_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _codes(spark, sf_dir).select("doc_id", X.effective_language(F.col("code"), F.col("lang")).alias("language"))
 
@@ -75,7 +74,7 @@ def lang_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.language_weight(F.col("text")).cast("long").alias("weight"))
 
 
-_MIXED = "case doc_id % 6 when 0 then text when 1 then translate(text, 'aeo', 'аео') when 2 then translate(text, 'th', '漢字') when 3 then translate(text, 'thr', '漢字か') when 4 then translate(text, 'n', '한') else '' end"
+_MIXED = "case doc_id % 8 when 6 then translate(text, 'm', 'ᠮ') when 7 then translate(text, 'aei', 'ᎠᎡཀ') when 0 then text when 1 then translate(text, 'aeo', 'аео') when 2 then translate(text, 'th', '漢字') when 3 then translate(text, 'thr', '漢字か') when 4 then translate(text, 'n', '한') else '' end"
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +83,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(rf"""
 with d as (select doc_id, {_MIXED} as text from documents)
-select doc_id, not regexp_matches(text, '[{_OTHERS}]') as latin_only,
+select doc_id, not regexp_matches(text, '[^\p{{Latin}}\p{{Common}}\p{{Inherited}}]') as latin_only,
   regexp_matches(text, '\p{{Han}}') and not regexp_matches(text, '[\p{{Hiragana}}\p{{Katakana}}]') as han_no_kana,
   case when regexp_matches(text, '\p{{Han}}') and regexp_matches(text, '[\p{{Hiragana}}\p{{Katakana}}]') then 'ja' when regexp_matches(text, '\p{{Han}}') then 'zh'
     when regexp_matches(text, '\p{{Hangul}}') then 'ko' when regexp_matches(text, '\p{{Cyrillic}}') then 'ru' when regexp_matches(text, '\p{{Latin}}') then 'en' else 'und' end as by_script

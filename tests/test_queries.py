@@ -29,7 +29,7 @@ def norm(v):
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(norm, v)) + "]"
     if isinstance(v, float):
-        return "null" if math.isnan(v) else repr(round(v, 6) + 0.0)
+        return "null" if math.isnan(v) else repr(round(v, 6))
     return "null" if v is None else str(v)
 
 
