@@ -1,32 +1,33 @@
 """Operator 8, embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact cosines.
 
-A rotation is learned, on a bounded sample, that makes the signs of the rotated vectors balanced binary codes. A code's
-bytes are indexed in tables: one for each choice of KEY_BYTES of them, so that codes which differ in few bits agree in
-some table. Vectors in one bucket of a table are compared by cosine in double precision in blocks of bounded size, and
-each pair counts only in the first table in which it meets, so links are counted without being listed. A block passes
-on one edge for each linked vector, to the smallest id that it is connected to within the block.
+Rotations are learned, on a bounded sample, that make the signs of the rotated vectors balanced binary codes. A code is cut
+into disjoint substrings, each of which is the key of one table, so that codes which differ in few bits agree in some
+table; their number grows with the code's length alone. Equal vectors are one class. Classes in one bucket of a table are
+compared by cosine in double precision in blocks of bounded size, and each pair counts only in the first table in which it
+meets, so links are counted without being listed. A block passes on one edge for each linked class, to the smallest id
+that it is connected to within the block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoglyph.llm.graph import components
-from sonoglyph.llm.store import cut, table
+from sonoglyph.llm.store import cut, discard, table
 
-#: Vectors that the rotation is learned on, at most: the first in the order of a hash of vec_id.
+#: Vectors that the rotations are learned on, at most: the first in the order of a hash of vec_id.
 SAMPLE = 20_000
 ITERATIONS = 30
 SEED = 7
 COSINE = 0.95
-#: Bytes of a code that a table's key has at most, whatever the number of vectors: codes that differ in up to 6 of 8 bytes
-#: meet. Larger buckets are what the pairs of parts of a bucket are for.
-KEY_BYTES = 2
+#: Bits of a code, and of a key: there are CODE_BITS / KEY_BITS tables. Wider keys make smaller buckets; for the same recall
+#: they need longer codes. Of vectors at cosine 0.95 one bit in ten differs, so that a key of 16 bits agrees in 18 % of cases.
+CODE_BITS = 320
+KEY_BITS = 16
 #: Vectors of a bucket that one block holds at most, of each of two parts.
 BLOCK = 512
 
@@ -42,83 +43,95 @@ def learn_rotation(vectors: np.ndarray, iterations: int = ITERATIONS, seed: int
     return rotation
 
 
-def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a usable vector (not null, finite, not zero, of the first usable one's length), and their unit vectors."""
-    rows, vectors, wide = [], [], 0
-    for i, x in enumerate(column.to_pylist()):
-        if x and None not in x:
-            v = np.array(x, np.float64)
-            top = np.abs(v).max()
-            if np.isfinite(v).all() and top > 0 and len(v) == (wide or len(v)):
-                wide, v = len(v), v / top
-                rows.append(i)
-                vectors.append(v / np.sqrt((v * v).sum()))
-    return np.array(rows, np.int64), np.array(vectors).reshape(len(rows), wide)
+def learn_rotations(vectors: np.ndarray, bits: int) -> np.ndarray:
+    """As many rotations side by side, each learned from a start of its own, as give codes of so many bits."""
+    return np.hstack([learn_rotation(vectors, seed=SEED + i) for i in range(-(-bits // vectors.shape[1]))])[:, :bits]
 
 
-def _codes(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def vectors_of(column: pa.Array, wide: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a usable vector (not null, finite, not zero, of length ``wide`` or of the first one's), and their vectors."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets, values = np.asarray(column.offsets), column.values
+    size = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
+    flat = values.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    some = np.concatenate([[0], np.cumsum(flat != 0)])
+    good = (size > 0) & (bad[offsets[1:]] == bad[offsets[:-1]]) & (some[offsets[1:]] > some[offsets[:-1]])
+    if wide is None:
+        wide = int(size[good][0]) if good.any() else 0
+    rows = np.flatnonzero(good & (size == wide))
+    return rows, flat[offsets[rows][:, None] + np.arange(wide)]
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision."""
+    x = vectors.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(np.float64).tiny)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def codes(x: np.ndarray, rotations: np.ndarray, key_bits: int) -> np.ndarray:
+    """The keys of each unit vector, one a table."""
+    bits = (x @ rotations >= 0).reshape(len(x), -1, key_bits)
+    return (bits << np.arange(key_bits, dtype=np.int64)).sum(axis=2)
+
+
+def _codes(sent, key_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation = sent.value
+        rotations = sent.value
         for batch in batches:
-            rows, vectors = units(batch.column("embedding"))
-            codes, whole = [None] * batch.num_rows, [None] * batch.num_rows
-            if len(rows) and vectors.shape[1] == len(rotation):
-                packed = np.packbits(vectors @ rotation >= 0, axis=1)
-                for i, code, v in zip(rows, packed, vectors, strict=True):
-                    codes[i], whole[i] = code.tobytes(), v.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(codes, pa.binary()), pa.array(whole, pa.binary())], ["vec_id", "code", "unit"])
+            rows, vectors = vectors_of(batch.column("embedding"), len(rotations))
+            if len(rows):
+                keys = codes(units(vectors), rotations, key_bits)
+                ids = batch.column("vec_id").take(pa.array(rows))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, flat, pa.array([v.tobytes() for v in vectors], pa.binary())], ["vec_id", "keys", "vector"])
 
     return run
 
 
-def _links(ids: np.ndarray, part: np.ndarray, x: np.ndarray, codes: np.ndarray, mixed: bool, met_before, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _links(ids: np.ndarray, part: np.ndarray, x: np.ndarray, keys: np.ndarray, mixed: bool, tab: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one block, each way, that link and have not met in an earlier table."""
     near = x @ x.T >= cosine
     near &= ids[:, None] != ids[None, :]
     if mixed:  # pairs within one part are another block's
         near &= part[:, None] != part[None, :]
     a, b = np.nonzero(near)
-    fresh = ~met_before(codes[a] == codes[b])
+    fresh = ~(keys[a, :tab] == keys[b, :tab]).any(axis=1)
     return a[fresh], b[fresh]
 
 
-def _small_links(group: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, tab: np.ndarray, met_before, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _small_links(group: np.ndarray, ids: np.ndarray, x: np.ndarray, keys: np.ndarray, tab: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """The same for many blocks of one part each: rows of each in a run, compared with the row k further on for every k."""
-    found_a, found_b = [], []
+    found_a, found_b, tables = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(keys.shape[1])
     for k in range(1, int(np.bincount(group).max())):
         a = np.flatnonzero(group[:-k] == group[k:])
         a = a[np.einsum("ij,ij->i", x[a], x[a + k]) >= cosine]
         a = a[ids[a] != ids[a + k]]
-        for one in np.unique(tab[a]):
-            of = a[tab[a] == one]
-            of = of[~met_before[one](codes[of] == codes[of + k])]
-            found_a += [of, of + k]
-            found_b += [of + k, of]
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
+        a = a[~((keys[a] == keys[a + k]) & (tables < tab[a, None])).any(axis=1)]
+        found_a += [a, a + k]
+        found_b += [a + k, a]
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _blocks(choices: list[tuple[int, ...]], cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(kind: np.dtype, cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come in the order of their blocks; the last block of a batch waits for the next batch."""
 
-    def met(earlier: list[tuple[int, ...]]):
-        return lambda same: np.logical_or.reduce([np.zeros(len(same), bool), *(np.logical_and.reduce([same[:, i] for i in c]) for c in earlier)])
-
-    met_before = [met(choices[:i]) for i in range(len(choices))]
-
     def compare(t: pa.Table) -> pa.RecordBatch:
-        ids, tab, part, low, high = (t.column(k).to_numpy() for k in ("vec_id", "tab", "part", "low", "high"))
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        ids, tab, part, low, high, copies = (t.column(k).to_numpy() for k in ("vec_id", "tab", "part", "low", "high", "copies"))
+        x = units(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(ids), -1))
+        keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
         group = np.cumsum(_begins(t)) - 1
         size = np.bincount(group)
         few = (size[group] <= 16) & (low == high)
         small = np.flatnonzero(few)
-        a, b = _small_links(np.unique(group[small], return_inverse=True)[1] if len(small) else small, ids[small], x[small], codes[small], tab[small], met_before, cosine) if len(small) else (small, small)
+        a, b = _small_links(np.unique(group[small], return_inverse=True)[1], ids[small], x[small], keys[small], tab[small], cosine) if len(small) else (small, small)
         pairs_a, pairs_b = [small[a]], [small[b]]
         start = np.cumsum(size) - size
         for g in np.unique(group[~few]):
             rows = slice(start[g], start[g] + size[g])
-            a, b = _links(ids[rows], part[rows], x[rows], codes[rows], low[start[g]] != high[start[g]], met_before[tab[start[g]]], cosine)
+            a, b = _links(ids[rows], part[rows], x[rows], keys[rows], low[start[g]] != high[start[g]], tab[start[g]], cosine)
             pairs_a.append(a + start[g])
             pairs_b.append(b + start[g])
         a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
@@ -131,7 +144,7 @@ def _blocks(choices: list[tuple[int, ...]], cosine: float) -> Callable[[Iterator
             if (least == root).all():
                 break
             root = least
-        links = np.bincount(a, minlength=len(ids))
+        links = np.bincount(a, copies[b], minlength=len(ids)).astype(np.int64)
         at = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])], ["vec_id", "n", "to"])
 
@@ -154,56 +167,56 @@ def _begins(t: pa.Table) -> np.ndarray:
     """Whether each row begins a block."""
     out = np.zeros(t.num_rows, bool)
     out[:1] = True
-    for k in ("tab", "bucket", "low", "high"):
+    for k in ("tab", "key", "low", "high"):
         v = t.column(k).to_numpy()
         out[1:] |= v[1:] != v[:-1]
     return out
 
 
-def key_width(n: int, n_bytes: int) -> int:
-    """Bytes of a key for ``n`` vectors: one for few, whose buckets are small as it is, else KEY_BYTES."""
-    return min(n_bytes, KEY_BYTES, max(1, round(np.log2(max(n, 2)) / 8)))
-
-
-def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, sample: int = SAMPLE, key_bytes: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, sample: int = SAMPLE, code_bits: int = CODE_BITS, key_bits: int = KEY_BITS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding).
 
-    Two vectors link if the index lets them meet and their cosine is at least ``cosine``; component_id is the smallest
-    vec_id reachable by links, kept is whether that is the vector's own. Null and zero vectors, those with null or
-    non-finite components and those of another length than the sample's first link with nothing. Rows that repeat a
-    vec_id share its links and do not link with one another. No rows, no rows; other columns are not read.
-    ``key_bytes``: bytes of a code that a table's key has; by default ``key_width``.
+    Two vectors link if the index lets them meet and their cosine is at least ``cosine``; equal ones always do. n_links is
+    the number of other vec_ids linked, component_id the smallest vec_id reachable by links, kept whether that is the
+    vector's own. Null and zero vectors, those with null or non-finite components and those of another length than the
+    sample's first link with nothing, nor does a null vec_id. Of rows that repeat a vec_id the least usable vector counts,
+    and all share its links. No rows, no rows; other columns are not read. ``code_bits`` is a multiple of ``key_bits``.
     """
+    if code_bits % key_bits or not 0 < key_bits <= 48:
+        raise ValueError("code_bits is a multiple of key_bits, key_bits at most 48")
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "embedding")
-    chosen = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    _, units_ = units(chosen.column("embedding").combine_chunks() if chosen.num_rows else pa.array([], pa.list_(pa.float64())))
-    n = vectors.count()
-    if not len(units_):
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    chosen = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()
+    rows, known = vectors_of(chosen.column("embedding")) if chosen.num_rows else ([], None)
+    if not len(rows):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    n_bytes = -(-units_.shape[1] // 8)
-    key_bytes = key_bytes or key_width(n, n_bytes)
-    choices = list(combinations(range(n_bytes), key_bytes))
-    rotation = spark.sparkContext.broadcast(learn_rotation(units_))
-    coded = cut(vectors.mapInArrow(_codes(rotation), "vec_id long, code binary, unit binary"), "itq-codes")
-
-    keyed = coded.where("code is not null and vec_id is not null").dropDuplicates(["vec_id"])
-    keys = F.posexplode(F.array(*(F.concat(*(F.substring("code", i + 1, 1) for i in c)) for c in choices)))
-    entries = keyed.select("vec_id", keys.alias("tab", "key"))
+    rotations = spark.sparkContext.broadcast(learn_rotations(units(known), code_bits))
+    coded = vectors.where("vec_id is not null").mapInArrow(_codes(rotations, key_bits), "vec_id long, keys array<long>, vector binary")
+    coded = coded.groupBy("vec_id").agg(F.min(F.struct("vector", "keys")).alias("v")).select("vec_id", "v.*")
+    coded = cut(coded.withColumn("print", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(7), "vector").alias("b"))), "itq-codes")
+
+    # equal vectors are one class, which its smallest vec_id stands for
+    classes = coded.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    member = cut(coded.select("vec_id", "print").join(classes, "print").select("vec_id", "rep", "copies"), "itq-classes")
+    firsts = coded.join(member.where("vec_id = rep").select("vec_id", "copies"), "vec_id").select("vec_id", "copies", "keys", "vector")
+    entries = firsts.select("vec_id", F.posexplode("keys").alias("tab", "key"))
     # only vectors that meet another one go on; large buckets are opened in pairs of parts
     sizes = entries.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     met = entries.join(sizes, ["tab", "key"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, "part").alias("low"), F.greatest(p, "part").alias("high")))
     blocks = met.select("vec_id", "tab", "key", "part", F.explode(others).alias("b")).select("vec_id", "tab", "key", "part", "b.low", "b.high")
-    order = ["tab", "bucket", "low", "high"]
-    blocks = blocks.withColumn("bucket", F.xxhash64("key")).drop("key").join(keyed, "vec_id")
-    sorted_ = blocks.repartition(*order).sortWithinPartitions(*order, "vec_id")
-    found = cut(sorted_.mapInArrow(_blocks(choices, cosine), "vec_id long, n long, to long"), "itq-links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    order = ["tab", "key", "low", "high"]
+    sorted_ = blocks.join(firsts, "vec_id").repartition(*order).sortWithinPartitions(*order, "vec_id")
+    found = cut(sorted_.mapInArrow(_blocks(known.dtype, cosine), "vec_id long, n long, to long"), "itq-links")
+    counts = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
     reached = components(found.select(F.col("vec_id").alias("u"), F.col("to").alias("v")))
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    linked = member.join(counts, "rep", "left").join(reached.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = linked.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = cut(linked, "itq-linked")
+    discard(coded, member, found)
+    out = vectors.select("vec_id").join(linked, "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op8_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,7 +295,7 @@ def test_vectors(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.95) & ~np.eye(300, dtype=bool)
     for block in (4, 512):
-        got = {r["vec_id"]: r for r in itq.near_vectors(df, key_bytes=1, block=block).collect()}
+        got = {r["vec_id"]: r for r in itq.near_vectors(df, block=block).collect()}
         found = sum(r["n_links"] for r in got.values())
         assert 0.9 * near.sum() <= found <= near.sum() and all(got[i]["n_links"] <= near[i].sum() for i in range(300))
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905)) and got[200]["component_id"] == 0

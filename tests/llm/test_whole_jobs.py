@@ -99,20 +99,29 @@ def test_chain_over_batches():
 # -- 8 -------------------------------------------------------------------------------------------------------------
 
 
-def test_recall_of_default_keys_at_every_size():
+def test_recall_of_the_default_index():
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(20_000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rotation = itq.learn_rotation(x[:5_000])
-    off = rng.normal(size=x.shape)
-    off -= (off * x).sum(1, keepdims=True) * x
-    off /= np.linalg.norm(off, axis=1, keepdims=True)
-    for cosine in (0.951, 0.96, 0.97):
-        y = cosine * x + np.sqrt(1 - cosine**2) * off
-        same = (np.packbits(x @ rotation >= 0, axis=1) == np.packbits(y @ rotation >= 0, axis=1)).sum(1)
-        got = {n: float((same >= itq.key_width(n, 8)).mean()) for n in (1_000, 2**13, 2**21, 2**30, 2**40)}
-        print(cosine, got)
-        assert min(got.values()) >= 0.9
+    for d, n in ((64, 20_000), (160, 1_000)):
+        x = rng.normal(size=(n, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rotations = itq.learn_rotations(x[:5_000], itq.CODE_BITS)
+        off = rng.normal(size=x.shape)
+        off -= (off * x).sum(1, keepdims=True) * x
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        for cosine in (0.951, 0.96, 0.97):
+            y = cosine * x + np.sqrt(1 - cosine**2) * off
+            met = (itq.codes(x, rotations, itq.KEY_BITS) == itq.codes(y, rotations, itq.KEY_BITS)).any(1).mean()
+            print(d, cosine, met)
+            assert met >= 0.95
+
+
+def test_equal_vectors_are_one_class(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6, 64))
+    x[3] = x[0] + 0.1 * rng.normal(size=64)
+    rows = [(i, x[0].tolist()) for i in range(100, 400)] + [(-3, x[3].tolist()), (-3, x[3].tolist()), (5, x[1].tolist()), (6, x[1].tolist()), (7, x[2].tolist()), (None, x[2].tolist()), (8, x[4][:5].tolist())]
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {(i, 300, -3, False) for i in range(100, 400)} | {(-3, 300, -3, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (None, 0, None, True), (8, 0, 8, True)}
 
 
 # -- hashes ----------------------------------------------------------------------------------------------------------
