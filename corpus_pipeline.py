@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences; each stage reads what the one before it wrote."""
+"""From raw documents to packed training sequences; each stage reads what the one before it wrote.
+
+Stages but the last return the rows that they keep with the columns of their input, whatever these are called. Rows of null
+doc_id are copies of nothing; of rows that repeat a doc_id one text takes part in comparisons, and what is decided holds for
+rows of that text alone. Empty tables go through as empty ones.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +11,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoglyph.llm.compact_windows import find_passages, remove_passages
 from sonoglyph.llm.jaccard_join import keep_first
-from sonoglyph.llm.kneser_ney import kneser_ney
-from sonoglyph.llm.line_dedup import line_dedup
-from sonoglyph.llm.packing import placements
-from sonoglyph.llm.store import cut, table
+from sonoglyph.llm.kneser_ney import keep_likely
+from sonoglyph.llm.line_dedup import clear_lines
+from sonoglyph.llm.packing import pack as pack_sequences
+from sonoglyph.llm.store import cut, free_name, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney model of the trusted ones keeps; columns and kept rows as they are."""
-    verdicts = kneser_ney(docs, table(spark, sf_dir, "labels"))
-    gone = verdicts.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the Kneser-Ney model of the trusted ones keeps."""
+    return keep_likely(docs, table(spark, sf_dir, "labels"))
 
 
-def _with_text(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The columns of ``before`` with n_chars of the new text; texts that a stage has emptied go, with their rows."""
-    kept = after.where("text is null or text <> '' or not _cleared")
-    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in before.columns))
+def _emptied(docs: DataFrame, change) -> DataFrame:
+    """``docs`` after a change of text, with n_chars of the new text; rows whose text the change has emptied go."""
+    empty = free_name(docs, "_was_empty")
+    after = change(docs.withColumn(empty, F.coalesce(F.col("text") == "", F.lit(False)))).where(f"text is null or text <> '' or `{empty}`")
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return after.select(*(F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines deleted; a document that consists of them goes."""
-    return _with_text(docs, line_dedup(docs).withColumn("_cleared", F.col("n_deleted") > 0))
+    return _emptied(docs, clear_lines)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +42,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages cut out; a document that consists of them goes."""
-    found = cut(find_passages(docs).select("doc_id", "start_word", "end_word").withColumn("_cleared", F.lit(True)), "pipeline-passages")
-    marked = docs.join(found.select("doc_id", "_cleared").distinct(), "doc_id", "left").withColumn("_cleared", F.coalesce("_cleared", F.lit(False)))
-    return _with_text(docs, remove_passages(marked, found))
+    found = find_passages(docs)
+    return _emptied(docs, lambda rows: remove_passages(rows, found))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of at most 4096 tokens."""
-    return placements(docs)
+    """Sequences of at most 4096 tokens: their ids, and the pieces of documents in them."""
+    return pack_sequences(docs)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", lines), ("jaccard_join", near_copies), ("compact_windows", passages), ("best_fit_packing", pack)]

@@ -90,8 +90,8 @@ def _describe(sketch, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                         first = m - least + min(SHARED, least)
                         prefixes[row] = own[np.lexsort((own, order[(own >> shift).astype(np.int64)]))[:first]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "print_a", "print_b", "prefix"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "prefix"])
 
     return run
 
@@ -171,7 +171,7 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, text_hash) of every row of ``docs`` (doc_id, text); text_hash is ``xxhash64(text)``.
 
     Words are runs of other than ASCII white space, A to Z in lower case; a text of fewer than ``size`` words has its
     whole sequence as its one shingle. Documents link when ``100 * shared >= percent * union``; component_id is the
@@ -182,8 +182,8 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketch = spark.sparkContext.broadcast(_order_sketch(docs, size))
-    schema = "doc_id long, n_shingles long, print_a long, print_b long, prefix array<long>"
-    described = cut(docs.mapInArrow(_describe(sketch, size, percent), schema), "jaccard-sets")
+    schema = "doc_id long, text_hash long, n_shingles long, print_a long, print_b long, prefix array<long>"
+    described = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(sketch, size, percent), schema), "jaccard-sets")
     prints = ["n_shingles", "print_a", "print_b"]
     classes = cut(described.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("first")), "jaccard-classes")
 
@@ -243,18 +243,18 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     final = nodes.select("doc_id", "component").join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
     final = final.select(F.col("doc_id").alias("first"), F.coalesce("top", "component").alias("top"))
     classed = classes.join(final, "first", "left").select(*prints, F.coalesce("top", "first").alias("top"))
-    return described.drop("prefix").join(classed, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
+    return described.drop("prefix").join(classed, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"), "text_hash")
 
 
 def keep_first(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for those linked, over any path, with a smaller doc_id; rows that repeat a doc_id all stay."""
-    found = jaccard_join(docs, size=size, percent=percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for those linked, over any path, with a smaller doc_id; rows of equal doc_id and text share a verdict."""
+    found = jaccard_join(docs, size=size, percent=percent).where("doc_id <> component_id")
+    gone = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_text_hash"]), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_join(table(spark, sf_dir, "documents"), size=3, percent=90).drop("text_hash")
 
 
 QUERIES = {"op5_jaccard_join": op5_jaccard_join}

@@ -123,11 +123,11 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
             rows = slice(s.first, s.first + s.n_docs)
             total[rows] = np.add.reduceat(log_p[np.searchsorted(key, asked)], bounds[:-1])
             count[rows] = np.diff(bounds) - 1
-        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(count), pa.array(total)], _SCORED))
-    return pa.Table.from_batches(out, pa.schema(list(zip(_SCORED, [pa.int64(), pa.string(), pa.int64(), pa.float64()], strict=True))))
+        out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in _SCORED[:3]), pa.array(count), pa.array(total)], _SCORED))
+    return pa.Table.from_batches(out, pa.schema(list(zip(_SCORED, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()], strict=True))))
 
 
-_SCORED = ["doc_id", "lang", "n_symbols", "log_prob"]
+_SCORED = ["doc_id", "lang", "text_hash", "n_symbols", "log_prob"]
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -172,14 +172,15 @@ def probabilities(asked: DataFrame, counts: dict[int, tuple[DataFrame, list[floa
 
 
 def kneser_ney(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, least_held_out: int = LEAST_HELD_OUT, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, lang, n_symbols, perplexity, threshold, kept) of every row of ``docs`` (doc_id, text, lang).
+    """(doc_id, lang, text_hash, n_symbols, perplexity, threshold, kept) of every row of ``docs`` (doc_id, text, lang);
+    text_hash is ``xxhash64(text)``.
 
     Perplexity is per UTF-16 code unit, over the whole text and its end; bytes that are no UTF-8 count as U+FFFD. A null or
     empty text has null perplexity and is not kept. A null language, and one with fewer than ``least_held_out`` held-out
     trusted documents, takes the threshold of all languages together; without any, everything with text is kept. Repeated
     rows each give a row; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("text_hash"), "text")
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     trusted = trusted.withColumn("fits", F.pmod(F.xxhash64(F.lit("fits"), "doc_id"), F.lit(2)) == 0)
 
@@ -188,15 +189,15 @@ def kneser_ney(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE
     counts = model(_packed(fits).join(trusted.where("fits").select("doc_id").hint("merge"), "doc_id", "left_semi").select("packed"))
 
     n_chunks = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk))
-    placed = _packed(docs.where("text <> ''").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))))
+    placed = _packed(docs.where("text <> ''").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_chunks))))
     # all of the rest is one job: its exchange of texts serves what chunks ask for and what they do with the answers,
     # that of what was asked serves the model's joins and the way back
     placed = placed.repartition(min(n_chunks, MOST_TASKS), "chunk")
     asked = placed.sortWithinPartitions("chunk").mapInArrow(_asked, "chunk long, key long").repartition(min(n_chunks, MOST_TASKS), "key")
     answers = probabilities(asked.select("key").distinct(), counts).select("key", F.ln("p").alias("log_p"))
     back = asked.join(answers, "key").select("chunk", "key", "log_p")
-    scored = placed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score, "doc_id long, lang string, n_symbols long, log_prob double")
-    empty = docs.where("text is null or text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_prob"))
+    scored = placed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score, "doc_id long, lang string, text_hash long, n_symbols long, log_prob double")
+    empty = docs.where("text is null or text = ''").select("doc_id", "lang", "text_hash", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_prob"))
     scored = cut(scored.union(empty), "perplexity")
     discard(*(c for c, _ in counts.values()))
     return _verdicts(scored, trusted, quantile, least_held_out)
@@ -218,10 +219,17 @@ def _verdicts(scored: DataFrame, trusted: DataFrame, quantile: float, least_held
     joined = scored.join(known, F.col("lang") == F.col("_lang"), "left")
     most = F.coalesce("most", F.lit(None if rest is None else int(np.ceil(rest))).cast("long"))
     return joined.select(
-        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(mean)).alias("perplexity"),
+        "doc_id", "lang", "text_hash", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(mean)).alias("perplexity"),
         F.exp(most * STEP).alias("threshold"), F.coalesce(F.col("step") <= F.coalesce(most, F.col("step")), F.lit(False)).alias("kept"))
 
 
+def keep_likely(docs: DataFrame, labels: DataFrame, **tuning) -> DataFrame:
+    """The rows of ``docs`` that ``kneser_ney`` keeps; rows of equal doc_id, lang and text have one verdict."""
+    gone = kneser_ney(docs, labels, **tuning).where("not kept").select(*(F.col(c).alias(f"_{c}") for c in _SCORED[:3])).distinct()
+    same = (docs["doc_id"].eqNullSafe(gone["_doc_id"])) & (docs["lang"].eqNullSafe(gone["_lang"])) & (F.xxhash64(docs["text"]) == gone["_text_hash"])
+    return docs.join(gone, same, "left_anti")
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -15,7 +15,7 @@ their lines are deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sonoglyph.llm.store import cut, discard, free_name, table
 
@@ -24,16 +24,19 @@ MIN_LINES = 2
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): two hashes of each line of each document."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.select("doc_id", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("ids"))
+    """(doc_id, text_hash, ids): two hashes of each line of each document, with ``xxhash64`` of the text; of rows that repeat
+    a doc_id the text of the least hash."""
+    lines = F.split("text", "\n", -1)
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.struct(F.xxhash64("text").alias("text_hash"), ids.alias("ids")).alias("t"))
+    return rows.groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.text_hash", "t.ids")
 
 
-def _first_windows(docs: DataFrame) -> DataFrame:
+def _first_windows(lines: DataFrame) -> DataFrame:
     """(doc_id, at, a, b): a 128-bit id of each window of MIN_LINES = 2 lines."""
     pairs = F.when(F.size("ids") >= 2, F.transform(F.sequence(F.lit(0), F.size("ids") - 2), lambda i: F.struct(
         F.xxhash64(F.get("ids", i)["a"], F.get("ids", i + 1)["a"]).alias("a"), F.xxhash64(F.get("ids", i)["b"], F.get("ids", i + 1)["b"]).alias("b"))))
-    return line_ids(docs).select("doc_id", F.posexplode(pairs).alias("at", "w")).select("doc_id", "at", "w.a", "w.b")
+    return lines.select("doc_id", F.posexplode(pairs).alias("at", "w")).select("doc_id", "at", "w.a", "w.b")
 
 
 def _rank(windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,14 +63,14 @@ _LATE = "doc_id > first_doc_id or doc_id = first_doc_id and at > first_at"
 _INTERVAL = ["lines", "first_doc_id", "first_at"]
 
 
-def suffix_ranks(docs: DataFrame) -> dict[int, DataFrame]:
-    """By number of lines (2, 4, 8 ...): the suffixes that share so many with another one, see ``_rank``."""
-    levels = {2: _rank(_first_windows(docs), ["a", "b"])}
-    while not levels[lines := max(levels)].isEmpty():
+def suffix_ranks(lines: DataFrame) -> dict[int, DataFrame]:
+    """Of ``line_ids``, by number of lines (2, 4, 8 ...): the suffixes that share so many with another one, see ``_rank``."""
+    levels = {2: _rank(_first_windows(lines), ["a", "b"])}
+    while not levels[n := max(levels)].isEmpty():
         # windows of twice as many lines: both halves must be shared
-        level = levels[lines].select("doc_id", "at", "rank")
-        ahead = level.select("doc_id", (F.col("at") - lines).cast("int").alias("at"), F.col("rank").alias("next"))
-        levels[2 * lines] = _rank(level.withColumnRenamed("rank", "r").join(ahead, ["doc_id", "at"]), ["r", "next"])
+        level = levels[n].select("doc_id", "at", "rank")
+        ahead = level.select("doc_id", (F.col("at") - n).cast("int").alias("at"), F.col("rank").alias("next"))
+        levels[2 * n] = _rank(level.withColumnRenamed("rank", "r").join(ahead, ["doc_id", "at"]), ["r", "next"])
     return levels
 
 
@@ -85,25 +88,25 @@ def _longer(members: DataFrame, following: DataFrame, more: int) -> DataFrame:
     return out
 
 
-def intervals(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, lines, first_doc_id, first_at): suffixes and the intervals of the suffix array that they belong to,
+def intervals(lines: DataFrame) -> DataFrame:
+    """Of ``line_ids``: (doc_id, at, lines, first_doc_id, first_at): suffixes and the intervals of the suffix array that they belong to,
     ``lines`` lines in common, of which the first is the earliest copy. Each later copy is in one interval."""
-    levels = suffix_ranks(docs)
+    levels = suffix_ranks(lines)
     members = None
-    for lines in sorted(levels, reverse=True)[1:]:
-        beyond = levels[2 * lines].where(_LATE).select("doc_id", "at")
-        own = levels[lines].join(beyond, ["doc_id", "at"], "left_anti").select("doc_id", "at", F.lit(lines).alias("lines"), "first_doc_id", "first_at")
-        if lines > 2:
-            following = levels[lines // 2].select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"))
+    for n in sorted(levels, reverse=True)[1:]:
+        beyond = levels[2 * n].where(_LATE).select("doc_id", "at")
+        own = levels[n].join(beyond, ["doc_id", "at"], "left_anti").select("doc_id", "at", F.lit(n).alias("lines"), "first_doc_id", "first_at")
+        if n > 2:
+            following = levels[n // 2].select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"))
         else:
-            following = line_ids(docs).select(F.col("doc_id").alias("_doc_id"), F.posexplode("ids").alias("_at", "id")).select("_doc_id", "_at", "id.a", "id.b")
-        made = _longer(own if members is None else members.union(own), following, lines // 2)
+            following = lines.select(F.col("doc_id").alias("_doc_id"), F.posexplode("ids").alias("_at", "id")).select("_doc_id", "_at", "id.a", "id.b")
+        made = _longer(own if members is None else members.union(own), following, n // 2)
         if members is not None:
             discard(members)
         members = made
-        discard(levels.pop(2 * lines))
+        discard(levels.pop(2 * n))
     if members is None:
-        return docs.select("doc_id", F.lit(0).alias("at"), F.lit(0).alias("lines"), F.col("doc_id").alias("first_doc_id"), F.lit(0).alias("first_at")).where("false")
+        return lines.select("doc_id", F.lit(0).alias("at"), F.lit(0).alias("lines"), F.col("doc_id").alias("first_doc_id"), F.lit(0).alias("first_at")).where("false")
     return members
 
 
@@ -121,26 +124,42 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     The first copy in the order of (doc_id, line) stays. Lines are what ``\\n`` parts, compared whole. A null text stays
     null and has no line; an empty text is one line and never part of a run. A text that loses all its lines becomes
-    empty. Rows that repeat a doc_id share their decisions, and none of them is an earlier copy of another at the same
-    line; a null doc_id is left as it is. No rows, no rows. Columns named like the added ones are replaced.
+    empty. Of rows that repeat a doc_id those of one text, the one of the least hash, are the document and share its
+    decisions; the others and those of a null doc_id are left as they are. No rows, no rows. Columns named like the added ones are replaced.
     """
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "longest")]
-    docs = docs.select(*keep, "text")
-    id_, runs, longest, kept_ = (free_name(docs, x) for x in ("_run_id", "_runs", "_run_longest", "_run_kept"))
-    found = intervals(docs.where("doc_id is not null").select("doc_id", "text"))
-    copies = maximal_runs(found).groupBy("doc_id").agg(F.collect_list(F.struct("at", "lines")).alias(runs))
-    marks = found.groupBy("doc_id").agg(F.max("lines").alias(longest)).join(copies, "doc_id", "left").withColumnRenamed("doc_id", id_)
+    out, kept_, longest = _decided(docs.select(*keep, "text"))
     lines = F.split("text", "\n", -1)
-    gone = lambda i: F.exists(runs, lambda r: (r["at"] <= i) & (i < r["at"] + r["lines"]))
-    joined = docs.join(marks, F.col("doc_id") == F.col(id_), "left")
-    out = joined.withColumn(kept_, F.when(F.size(runs) > 0, F.filter(lines, lambda x, i: ~gone(i))))
     return out.select(
-        *keep, F.when(F.col(kept_).isNull(), F.col("text")).otherwise(F.array_join(kept_, "\n")).alias("text"),
+        *keep, _cleared(kept_).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col(kept_).isNull(), 0).otherwise(F.size(lines) - F.size(kept_)).cast("long").alias("n_deleted"),
         F.coalesce(longest, F.lit(0)).cast("long").alias("longest"))
 
 
+def clear_lines(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with text as ``line_dedup`` leaves it."""
+    out, kept_, _ = _decided(docs)
+    return out.select(*(_cleared(kept_).alias("text") if c == "text" else c for c in docs.columns))
+
+
+def _cleared(kept: str) -> Column:
+    return F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
+def _decided(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more: the lines that stay, null where all do, and the lines of the longest run."""
+    id_, hash_, runs, longest, kept_ = (free_name(docs, x) for x in ("_run_id", "_run_hash", "_runs", "_run_longest", "_run_kept"))
+    known = cut(line_ids(docs.select("doc_id", "text")), "line-ids")
+    found = intervals(known)
+    copies = maximal_runs(found).groupBy("doc_id").agg(F.collect_list(F.struct("at", "lines")).alias(runs))
+    marks = found.groupBy("doc_id").agg(F.max("lines").alias(longest)).join(copies, "doc_id", "left").join(known.select("doc_id", F.col("text_hash").alias(hash_)), "doc_id").withColumnRenamed("doc_id", id_)
+    lines = F.split("text", "\n", -1)
+    gone = lambda i: F.exists(runs, lambda r: (r["at"] <= i) & (i < r["at"] + r["lines"]))
+    joined = docs.join(marks, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left")
+    return joined.withColumn(kept_, F.when(F.size(runs) > 0, F.filter(lines, lambda x, i: ~gone(i)))), kept_, longest
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_deleted", "longest", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))

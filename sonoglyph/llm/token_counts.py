@@ -23,13 +23,17 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 0xC280
 #: Ids that hold a document's doc_id, of 14 bits each, from FIRST_ID on.
 ID_TOKENS, ID_BITS, FIRST_ID = 5, 14, 0x4000
-#: Tokens of a block.
+#: Tokens of a block, and documents of a file at most.
 BLOCK = 1 << 18
+FILE_DOCS = 100_000
 
 
 def _records(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shifts = word_encoder(path), np.arange(ID_TOKENS - 1, -1, -1, dtype=np.uint64) * ID_BITS
+        encoder = word_encoder(path)
+        if encoder.tokenizer.get_vocab_size() > END_ID:
+            raise ValueError(f"the vocabulary has ids from {END_ID} on")
+        shifts = np.arange(ID_TOKENS - 1, -1, -1, dtype=np.uint64) * ID_BITS
         for batch in batches:
             for s in T.slices(batch.column("text")):
                 ids, bounds = encoder.encode(s)
@@ -42,12 +46,12 @@ def _records(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def write_token_files(docs: DataFrame, path: str, *, vocabulary_path: str | None = None) -> None:
-    """Writes ``docs`` (doc_id, text) as flat token files, one for each partition, through Spark's own file committer.
+    """Writes ``docs`` (doc_id, text) as flat token files of up to FILE_DOCS documents through Spark's own file committer.
 
     A null text has no token. Null doc_ids are left out: the format has no place for them.
     """
     rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_records(vocabulary_path or vocabulary(VOCABULARY)), "tokens binary")
-    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", bytes([END_ID >> 8, END_ID & 255]).decode("utf-8")).text(path)
+    rows.select(F.col("tokens").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_DOCS).option("lineSep", bytes([END_ID >> 8, END_ID & 255]).decode("utf-8")).text(path)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

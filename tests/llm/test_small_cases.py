@@ -403,14 +403,14 @@ def test_lines(spark, docs):
                 longest[p[0]] = max(longest[p[0]], n)
                 if q < p and (n, (-q[0], -q[1])) > best.get(p, (0, ())):
                     best[p] = (n, (-q[0], -q[1]))
-    found = D.intervals(docs(rows))
+    found = D.intervals(D.line_ids(docs(rows)))
     runs = {(r["doc_id"], r["at"]): (r["lines"], (-r["first_doc_id"], -r["first_at"])) for r in found.where(D._LATE).collect()}
     assert runs == best and all(got[i]["longest"] == longest[i] for i, _ in rows)
     whole = {(r["doc_id"], r["at"], r["lines"]) for r in D.maximal_runs(found).collect()}
     assert whole == {(*p, n) for p, (n, _) in best.items() if best.get((p[0], p[1] - 1), (0,))[0] != n + 1} and (51, 1, 5) in whole
     assert D.line_dedup(docs([])).count() == 0
     assert D.line_dedup(docs(ODD)).count() == len(ODD)
-    ranks = D.suffix_ranks(docs(rows))[2].groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()
+    ranks = D.suffix_ranks(D.line_ids(docs(rows)))[2].groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()
     assert all(a["rank"] + a["n"] == b["rank"] for a, b in zip(ranks, ranks[1:], strict=False))
 
 
@@ -419,6 +419,7 @@ def test_lines(spark, docs):
 
 def test_pipeline(spark):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     before = spark.read.parquet(f"{sf}/documents.parquet")
@@ -428,4 +429,48 @@ def test_pipeline(spark):
         if name != "best_fit_packing":
             assert after.columns == columns and after.count() <= n
             n, before = after.count(), after
-    assert n >= 100 and after.select("doc_id").distinct().count() == n
+    assert n >= 100
+    t = Tokenizer.from_file(vocabulary(P.VOCABULARY))
+    want = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in before.collect()}
+    got = {}
+    for r in after.collect():
+        assert len(r["ids"]) <= 4096 and sum(p["length"] for p in r["pieces"]) == len(r["ids"])
+        for p in r["pieces"]:
+            got[p["doc_id"], p["piece"]] = r["ids"][p["offset"] : p["offset"] + p["length"]]
+    assert {d: sum((got[d, i] for i in range(1 + max(p for e, p in got if e == d))), []) for d in {d for d, _ in got}} == want
+
+
+def test_pipeline_of_odd_tables(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_deleted int, longest string, _cleared int, _was_empty int, component_id int, kept boolean, text_hash int"
+    passage = text(rng, 70, 10**6)
+    good = [(i, f"{text(rng, 60, 10**6)}\n{text(rng, 60, 10**6)}") for i in range(1, 20)]
+    rows = [*good, (30, good[0][1]), (30, text(rng, 90, 10**6)), (31, None), (None, text(rng, 80, 10**6)), (None, good[1][1]), (32, ""), (33, "a\nb\nc"), (34, "a\nb\nc"), (40, f"{text(rng, 100, 10**6)} {passage}"), (41, f"{passage} {text(rng, 100, 10**6)}")]
+    full = [(i, t, "en", "s", len(t or ""), 77, 78, "l", 1, 2, 3, True, 4) for i, t in rows]
+    made = spark.createDataFrame(full, schema).repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = K.keep_likely(made, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if t) and kept.columns == made.columns
+    after = stages["line_dedup"](spark, made, "")
+    assert after.columns == made.columns and {tuple(r[5:]) for r in after.collect()} == {full[0][5:]}
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in after.collect())
+    # of the two texts of 30, the one of the least hash is the document
+    first = made.where("doc_id = 30").orderBy(F.xxhash64("text")).first()["text"]
+    gone = [(34, "a\nb\nc")] + [(30, good[0][1])] * (first == good[0][1])
+    assert left == sorted((i or 0, t or "") for i, t in rows if (i, t) not in gone) and all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in after.collect())
+    after = stages["jaccard_join"](spark, made, "")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in after.collect()) == sorted((i or 0, t or "") for i, t in rows if i != 34 and (i, t) != (30, good[0][1])) and after.columns == made.columns
+    after = stages["compact_windows"](spark, made, "")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in after.collect())
+    assert after.columns == made.columns and (41, rows[-1][1].removeprefix(passage + " ")) in got and (30, rows[20][1]) in got and {tuple(r[5:]) for r in after.collect()} == {full[0][5:]}
+    packed = stages["best_fit_packing"](spark, made, "").collect()
+    assert sum(len(r["pieces"]) for r in packed) == len(rows) and all(len(r["ids"]) <= 4096 for r in packed)
+    for name in ("line_dedup", "jaccard_join", "compact_windows", "best_fit_packing"):
+        assert stages[name](spark, made.where("false"), "").count() == 0
+
+
+def test_pack_of_repeated_rows(spark, docs):
+    packed = P.pack(docs([(1, "one two three four five"), (1, "one two three four five"), (2, None)]), capacity=12).collect()
+    assert all(len(r["ids"]) <= 12 for r in packed) and sum(len(r["pieces"]) for r in packed) == 3 and all(r["ids"][-1] == 1 for r in packed)
