@@ -77,7 +77,7 @@ def code_error(code: Column) -> Column:
     """Why a language code is refused: it names no region, or no supported language; null if it is not."""
     locale, asked = canonical_locale(code), F.lower(strip(code))
     known = F.element_at(_map(LANGUAGES), locale_base(locale)).isNotNull()
-    return F.when(asked.isin("", "auto"), None).when(~F.contains(locale, F.lit("-")), "no region").when(~known, "unsupported language")
+    return F.when(F.coalesce(asked, F.lit("")).isin("", "auto"), None).when(~F.contains(locale, F.lit("-")), "no region").when(~known, "unsupported language")
 
 
 def resolved_language(language: Column, code: Column, detected: Column) -> tuple[Column, Column]:
