@@ -167,6 +167,15 @@ def test_licenses(spark, docs):
     assert got == [(20, 2, "MIT"), (21, 1, "MIT"), (22, 1, "MIT")]
     assert L.license_scan(docs(rows)).where("doc_id = 24 and license = 'CC-BY-4.0' and line > 0").count() == 2
     assert L.license_scan(docs([])).count() == 0 and L.license_scan(docs(rows), templates=[("x", "one")]).count() == 0
+    # wrapped over lines inside a source file, with comment marks, and a full text between others
+    body = dict(enumerate(t for _, t in L.TEMPLATES))
+    apache, full = body[1].split(), body[14].split()
+    wrap = lambda w, n, mark: [mark + " ".join(w[i : i + n]) for i in range(0, len(w), n)]
+    source = ["import x", "", *wrap(apache, 9, "# "), "", "def f(): pass", *["y = 1"] * 30]
+    document = ["Copyright (c) 2020 someone", "", *wrap(full, 12, "")[:6], "", *wrap(full, 12, "")[6:], "", "Other text follows here."]
+    found = {(r["doc_id"], r["line"], r["n_lines"], r["license"], r["template"]): r["dice"] for r in L.license_scan(docs([(1, "\n".join(source)), (2, "\n".join(document)), (3, "\n".join(source[4:]) * 2)])).collect()}
+    assert found[1, 3, len(wrap(apache, 9, "")), "Apache-2.0", 1] == 1.0 and max(d for (i, *_, t), d in found.items() if (i, t) == (2, 14)) > 0.95
+    assert L.license_scan(docs([(1, "word " * 100_000 + "\n" + "\n" * 5_000)])).count() == 0
 
 
 # -- 5 -------------------------------------------------------------------------------------------------------------
