@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors share; there is no other place that would do."""
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share. Only a session within one process, as in
+    tests, makes one of its own where it is unset; on a cluster no other place would do."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
