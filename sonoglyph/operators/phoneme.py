@@ -21,8 +21,9 @@ def phoneme_ids(symbols: Column, alphabet: list[str] = PHONEMES) -> Column:
 
 def missing_symbols(df: DataFrame, key: list[str], symbols: str, alphabet: list[str] = PHONEMES) -> DataFrame:
     """How often each symbol without an id stands in each row."""
-    rows = df.select(*key, F.explode(symbols).alias("symbol"))
-    return rows.where(F.element_at(id_map(alphabet), F.col("symbol")).isNull()).groupBy(*key, "symbol").agg(F.count(F.lit(1)).alias("n"))
+    known = id_map(alphabet)
+    rows = df.select(*key, F.explode(F.filter(symbols, lambda s: F.element_at(known, s).isNull())).alias("symbol"))
+    return rows.groupBy(*key, "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def intersperse(values: Column, item: Column) -> Column:

@@ -21,8 +21,17 @@ def write_utterances(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(path, number, value) of the lines of text files, numbered from 1 in each file. A file is one row here: for files of
+    settings and lists, which are small."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("number", "value"))
+    return lines.select("path", (F.col("number") + 1).cast("long").alias("number"), "value")
+
+
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
-    """(key, text) of lines ``key(...): text``; parted at the first colon, the key at its first parenthesis."""
-    rows = spark.read.text(path).where(F.contains("value", F.lit(":")))
+    """(key, text) of lines ``key(...): text``; parted at the first colon, the key at its first parenthesis; of equal keys the last."""
+    rows = numbered(spark, path).where(F.contains("value", F.lit(":")))
     parts = F.split("value", ":", 2)
-    return rows.select(F.trim(F.substring_index(parts[0], "(", 1)).alias("key"), F.trim(parts[1]).alias("text"))
+    keyed = rows.select(F.trim(F.substring_index(parts[0], "(", 1)).alias("key"), F.trim(parts[1]).alias("text"), F.struct("path", "number").alias("at"))
+    return keyed.groupBy("key").agg(F.max_by("text", "at").alias("text"))
