@@ -1,6 +1,8 @@
 """Cases in which a part of the job could be left out without other tests noticing."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -158,3 +160,68 @@ def test_different_words_stay_different(spark, docs):
     path = C.new_path(spark, "test-tokens")
     C.write_token_files(docs(rows), path)
     assert Counter(map(tuple, C.scan_token_files(spark, path).collect())) == Counter((i, len(e.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+
+
+# -- 2 against brute force ---------------------------------------------------------------------------------------------
+
+
+def shingle_list(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    return [" ".join(words[i : i + W.SIZE]) for i in range(len(words) - W.SIZE + 1)]
+
+
+def like_passages(texts, queries, width=W.WIDTH, similarity=W.SIMILARITY):
+    """(a, b, start, end): documents a < b, one of them a query, with runs of ``width`` shingles that are so similar, and the words of b's."""
+    lists = {i: shingle_list(t) for i, t in texts.items()}
+    have = {}
+    for i, s in lists.items():
+        for x in set(s):
+            have.setdefault(x, []).append(i)
+    least = int(np.ceil(similarity / (1 + similarity) * 2 * width - 1e-9))
+    out = []
+    for q in queries:
+        for o, n in Counter(i for x in set(lists[q]) for i in have[x] if i != q).items():
+            if n < min(least, 1 + least // 2) or (o in queries and o < q):
+                continue
+            a, b = sorted((q, o))
+            known = {x: k for k, x in enumerate(dict.fromkeys(lists[a] + lists[b]))}
+            x, y = (np.array([known[s] for s in lists[i]]) for i in (a, b))
+            if min(len(x), len(y)) < width:
+                continue
+            rows_x = np.array([len(set(x[i : i + width].tolist())) for i in range(len(x) - width + 1)])
+            hit = None
+            for j in range(len(y) - width + 1):
+                own = np.unique(y[j : j + width])
+                inside = np.isin(x, own)
+                if inside.sum() < least * 0.5:
+                    continue
+                for i in np.flatnonzero(np.convolve(inside, np.ones(width, int), "valid") >= least * 0.5):
+                    shared = len(np.intersect1d(own, x[i : i + width]))
+                    if shared >= similarity * (len(own) + rows_x[i] - shared):
+                        hit = (a, b, j, j + width + W.SIZE - 1)
+                        break
+                if hit:
+                    out.append(hit)
+                    break
+    return out
+
+
+def caught(found, truth):
+    spans = {}
+    for r in found:
+        spans.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    return sum(any(s < end and start < e for s, e in spans.get(b, [])) for _, b, start, end in truth) / max(1, len(truth))
+
+
+def test_passages_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = W.find_passages(docs).collect()
+    truth = like_passages(texts, list(texts))
+    assert len(truth) > 10 and caught(found, truth) >= 0.97
+    lists = {i: shingle_list(t) for i, t in texts.items()}
+    for r in found:
+        a = set(lists[r["doc_id"]][r["start_word"] : r["end_word"] - W.SIZE + 1])
+        b = set(lists[r["source_doc_id"]][r["source_start_word"] : r["source_end_word"] - W.SIZE + 1])
+        assert len(a & b) >= W.SIMILARITY * len(a | b) - 1e-9 and r["source_doc_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 40
