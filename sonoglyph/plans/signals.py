@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sonoglyph.functions import audio as A
 from sonoglyph.operators import sampling as S
@@ -14,45 +14,63 @@ _P = "e as (select *, exp(logit - max(logit) over (partition by vec_id)) as e fr
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "x"))
-    return rows.select("vec_id", "token", (F.col("x").cast("double") * 10).alias("logit"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
+
+
+def _tokens(rows: DataFrame, pairs: Column) -> DataFrame:
+    return rows.select("vec_id", F.explode(pairs).alias("s")).select("vec_id", "s.token", F.round("s.logit", 6).alias("logit"))
 
 
 @R.query(f"with {_L} select vec_id, token, round(logit, 6) as logit from (select *, rank() over (partition by vec_id order by logit desc) as r from l) where r <= 5")
 def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_k(_logits(spark, sf_dir), ["vec_id"], 5).withColumn("logit", F.round("logit", 6))
+    return _tokens(_logits(spark, sf_dir), S.top_k(F.col("logits"), 5))
 
 
 @R.query(f"with {_L}, {_P} select vec_id, token, round(logit, 6) as logit, round(p, 6) as p from p")
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.softmax(_logits(spark, sf_dir), ["vec_id"]).select("vec_id", "token", F.round("logit", 6).alias("logit"), F.round("p", 6).alias("p"))
+    both = F.arrays_zip(S.numbered(F.col("logits")).alias("s"), S.softmax(F.col("logits")).alias("p"))
+    rows = _logits(spark, sf_dir).select("vec_id", F.explode(both).alias("z"))
+    return rows.select("vec_id", F.col("z.s.token").alias("token"), F.round("z.s.logit", 6).alias("logit"), F.round("z.p", 6).alias("p"))
 
 
 @R.query(f"""
 with {_L}, {_P}, c as (select *, sum(p) over (partition by vec_id order by logit desc, token rows unbounded preceding) as s, row_number() over (partition by vec_id order by logit desc, token) as n from p)
 select vec_id, count(*) as n_kept, round(sum(p), 6) as mass from c where s <= 0.8 or n = 1 group by vec_id""")
 def topp_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = S.top_p(_logits(spark, sf_dir), ["vec_id"], 0.8)
-    return kept.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("p"), 6).alias("mass"))
+    kept = _logits(spark, sf_dir).select("vec_id", S.top_p(F.col("logits"), 0.8).alias("k"))
+    return kept.select("vec_id", F.size("k").cast("long").alias("n_kept"), F.round(F.aggregate("k", F.lit(0.0), lambda a, s: a + s["p"]), 6).alias("mass"))
 
 
 @R.query(f"""
 with {_L}, h as (select distinct vec_id, (vec_id * 7 + k * k) % 64 as token from embeddings, (select unnest(range(6)) as k))
 select vec_id, token, round(case when h.token is null then logit when logit > 0 then logit / 1.05 else logit * 1.05 end, 6) as logit from l left join h using (vec_id, token)""")
 def repetition_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).selectExpr("vec_id", "cast((vec_id * 7 + k * k) % 64 as int) as token")
-    return S.repetition_penalty(_logits(spark, sf_dir), history, ["vec_id"], 1.05).select("vec_id", "token", F.round("logit", 6).alias("logit"))
+    history = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: ((F.col("vec_id") * 7 + k * k) % 64).cast("int"))
+    put = _logits(spark, sf_dir).select("vec_id", S.repetition_penalty(F.col("logits"), history, 1.05).alias("logits"))
+    return _tokens(put, S.numbered(F.col("logits")))
 
 
 @R.query(f"with {_L} select vec_id, (min_by(token, token) filter (where logit = m))::int as token from (select *, max(logit) over (partition by vec_id) as m from l) group by vec_id")
 def greedy_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.greedy(_logits(spark, sf_dir), ["vec_id"])
+    return _logits(spark, sf_dir).select("vec_id", S.greedy(F.col("logits")).alias("token"))
+
+
+@R.query(f"""
+with {_L}, {_P}, c as (select *, sum(p) over (partition by vec_id order by token rows unbounded preceding) as s from p)
+select vec_id, least(count(*) filter (where s <= (vec_id * 37 % 100) / 100.0::double), 63)::int as token from c group by vec_id""")
+def sampled_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token drawn by its probability, the draws being given."""
+    return _logits(spark, sf_dir).select("vec_id", S.sampled(F.col("logits"), (F.col("vec_id") * 37 % 100) / 100.0).alias("token"))
 
 
-@R.query(f"with {_L} select vec_id, count(*) filter (where token >= 48 and token <> 50) as n_suppressed, round(max(case when token >= 48 and token <> 50 then null else logit end), 6) as best from l group by vec_id")
+@R.query(f"""
+with {_L}, s as (select *, token >= 48 and token <> 50 or token = 50 and vec_id % 7 < 3 as gone from l)
+select vec_id, count(*) filter (where gone) as n_suppressed, round(max(case when not gone then logit end), 6) as best from s group by vec_id""")
 def suppress_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = S.suppress(_logits(spark, sf_dir), ["vec_id"], 16, 50)
-    return held.groupBy("vec_id").agg(F.count_if(F.col("logit") == float("-inf")).alias("n_suppressed"), F.round(F.max("logit"), 6).alias("best"))
+    """The last ids suppressed but for the end id, and that too before the third step."""
+    held = S.suppress_end(S.suppress(F.col("logits"), 16, 50), 50, F.col("vec_id") % 7, 3)
+    rows = _logits(spark, sf_dir).select("vec_id", held.alias("h"))
+    return rows.select("vec_id", F.size(F.filter("h", lambda x: x == float("-inf"))).cast("long").alias("n_suppressed"), F.round(F.array_max("h"), 6).alias("best"))
 
 
 @R.query("""
