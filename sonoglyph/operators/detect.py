@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonoglyph.dims import BANNED_LATIN, COMMON_LATIN, CONFUSABLE, DEFAULT_THRESHOLD, MARKERS, SCRIPT_LANGUAGES, SCRIPT_THRESHOLDS
+from sonoglyph.dims import BANNED_LATIN, COMMON_LATIN, CONFUSABLE, DEFAULT_THRESHOLD, MARKERS, SCRIPT_LANGUAGES, SCRIPT_THRESHOLDS, SCRIPTS
 from sonoglyph.functions.text import has_han_without_kana, is_latin_only, language_by_script
 from sonoglyph.operators.segment import merge_languages, script_of, script_runs
 
@@ -17,14 +17,15 @@ Detector = Callable[[Column, Column], Column]
 
 def marker_language(text: Column) -> Column:
     """The first language of which the text has a script or character that no other has; null without one."""
-    found = ((code, "".join([*(rf"\p{{Is{s}}}" for s in scripts), letters])) for code, scripts, letters in MARKERS)
-    return F.coalesce(*(F.when(text.rlike(f"[{those}]"), code) for code, those in found))
+    found = [(code, "".join([*(rf"\p{{Is{s}}}" for s in scripts), letters])) for code, scripts, letters in MARKERS]
+    any_of_them = text.rlike("[" + "".join(those for _, those in found) + "]")  # one look spares most texts the others
+    return F.when(any_of_them, F.coalesce(*(F.when(text.rlike(f"[{those}]"), code) for code, those in found)))
 
 
 def script_set(text: Column) -> Column:
     """Sorted names of the scripts in a text, but for common, inherited and unknown ones; of scripts without a name here, none."""
-    runs = F.regexp_extract_all(text, F.lit(r"[^\p{IsCommon}\p{IsInherited}\p{IsUnknown}]"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.array_distinct(runs), script_of), lambda s: s != "Unknown")))
+    runs = F.regexp_extract_all(text, F.lit("|".join(rf"\p{{Is{s}}}+" for s in SCRIPTS)), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.transform(runs, lambda r: F.left(r, F.lit(1)))), script_of)))
 
 
 def allowed(detections: Column, languages: list[str] | None, k: int = 3) -> Column:
@@ -76,10 +77,10 @@ def split_languages(texts: DataFrame, key: list[str], detect: Detector, main: st
     the main language cannot have is what the detector says, if reliably, else what its script says; any other is judged
     with a bias for the main language. A run is one token. Null and empty texts have no span.
     """
-    runs = script_runs(texts.select(*key, F.col(text).alias("text")), key).join(texts.select(*key, F.col(main).alias("_main")), key)
+    runs = script_runs(texts.select(*key, F.col(main).alias("_main"), F.col(text).alias("text")), [*key, "_main"])
     run, script, main_ = F.col("run"), F.col("script"), F.col("_main")
     said = detect(run, main_)
     other = F.when(script == "Han", F.when(has_han_without_kana(run), "zh").otherwise("ja")).when(F.coalesce(said["reliable"], F.lit(False)), said["language"]).otherwise(language_by_script(run))
     blank = script.isin("Common", "Inherited") | (F.trim(run) == "")
     language = F.when(blank, "und").when(~script_valid(script, main_), other).otherwise(biased_language(run, main_, script, said))
-    return merge_languages(runs.withColumn("language", language).drop("_main"), key)
+    return merge_languages(runs.withColumn("language", language), [*key, "_main"]).drop("_main")

@@ -26,6 +26,12 @@ def missing_symbols(df: DataFrame, key: list[str], symbols: str, alphabet: list[
     return rows.groupBy(*key, "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+def missing_characters(df: DataFrame, key: list[str], text: str, alphabet: list[str] = PHONEMES) -> DataFrame:
+    """``missing_symbols`` of a text's characters, for alphabets of single characters: the known ones go before any is a row."""
+    rest = F.translate(text, "".join(alphabet), "")
+    return df.where(rest != "").select(*key, F.explode(F.split(rest, "")).alias("symbol")).groupBy(*key, "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
 def intersperse(values: Column, item: Column) -> Column:
     """The item before, between and after the values."""
     return F.concat(F.array(item), F.flatten(F.transform(values, lambda v: F.array(v, item))))

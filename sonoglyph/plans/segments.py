@@ -116,8 +116,7 @@ def phoneme_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 with m(symbol, id) as (values {_IDS}), p as (select doc_id, unnest(string_split(text, '')) as symbol from documents)
 select symbol, count(*) as n from p anti join m using (symbol) group by symbol""")
 def missing_phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "").alias("symbols"))
-    return P.missing_symbols(docs, [], "symbols")
+    return P.missing_characters(read(spark, sf_dir, "documents").select("text"), [], "text")
 
 
 @R.query("""
