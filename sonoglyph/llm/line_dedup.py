@@ -33,15 +33,16 @@ def line_ids(docs: DataFrame) -> DataFrame:
 
 
 def _first_windows(lines: DataFrame) -> DataFrame:
-    """(doc_id, at, a, b): a 128-bit id of each window of MIN_LINES = 2 lines."""
+    """(doc_id, at, lines, a, b): a 128-bit id of each window of MIN_LINES = 2 lines, made of two of one line."""
     pairs = F.when(F.size("ids") >= 2, F.transform(F.sequence(F.lit(0), F.size("ids") - 2), lambda i: F.struct(
         F.xxhash64(F.get("ids", i)["a"], F.get("ids", i + 1)["a"]).alias("a"), F.xxhash64(F.get("ids", i)["b"], F.get("ids", i + 1)["b"]).alias("b"))))
-    return lines.select("doc_id", F.posexplode(pairs).alias("at", "w")).select("doc_id", "at", "w.a", "w.b")
+    return lines.select("doc_id", F.posexplode(pairs).alias("at", "w")).select("doc_id", "at", F.lit(1).alias("lines"), "w.a", "w.b")
 
 
 def _rank(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of windows (doc_id, at, *keys) those that share their keys with another one: (doc_id, at, rank, first_doc_id,
-    first_at), where rank is the number of windows before theirs in the order of the keys, and first the earliest of them.
+    """Of windows (doc_id, at, lines, *keys), each of two times ``lines``, those that share their keys with another one:
+    (doc_id, at, lines, rank, first_doc_id, first_at), where rank is the number of windows before theirs in the order of the
+    keys, and first the earliest of them. Lengths are columns, not constants: all levels run the same compiled code.
 
     Keys with their counts are sorted by range; a running sum within each range plus the sums of the ranges before it
     is the rank, so no task sees more than its range.
@@ -54,7 +55,7 @@ def _rank(windows: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("*", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("within")).join(before, "range")
     ranks = ranks.select(*keys, (F.col("within") + F.col("before")).alias("rank"), "first")
-    ranked = cut(windows.join(ranks, keys).select("doc_id", "at", "rank", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at")), "line-ranks")
+    ranked = cut(windows.join(ranks, keys).select("doc_id", "at", (F.col("lines") * 2).alias("lines"), "rank", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at")), "line-ranks")
     discard(counts)
     return ranked
 
@@ -68,24 +69,22 @@ def suffix_ranks(lines: DataFrame) -> dict[int, DataFrame]:
     levels = {2: _rank(_first_windows(lines), ["a", "b"])}
     while not levels[n := max(levels)].isEmpty():
         # windows of twice as many lines: both halves must be shared
-        level = levels[n].select("doc_id", "at", "rank")
-        ahead = level.select("doc_id", (F.col("at") - n).cast("int").alias("at"), F.col("rank").alias("next"))
+        level = levels[n].select("doc_id", "at", "lines", "rank")
+        ahead = level.select("doc_id", (F.col("at") - F.col("lines")).alias("at"), F.col("rank").alias("next"))
         levels[2 * n] = _rank(level.withColumnRenamed("rank", "r").join(ahead, ["doc_id", "at"]), ["r", "next"])
     return levels
 
 
-def _longer(members: DataFrame, following: DataFrame, more: int) -> DataFrame:
-    """Intervals of ``members`` parted by the ``more`` lines that follow theirs: (doc_id, at, a, b) in ``following``."""
+def _longer(members: DataFrame, following: DataFrame) -> DataFrame:
+    """Intervals of ``members`` parted by the lines that follow theirs: (_doc_id, _at, more, a, b), so many, in ``following``."""
     rows = members.join(following, (members["doc_id"] == following["_doc_id"]) & (members["at"] + members["lines"] == following["_at"]), "left").drop("_doc_id", "_at")
     keys = [*_INTERVAL, "a", "b"]
-    parts = cut(rows.where("a is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "at")).alias("part")).where("c > 1").drop("c"), "line-parts")
+    parts = rows.where("a is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "at")).alias("part")).where("c > 1").drop("c")
     joined = rows.join(parts, keys, "left")
     stays = F.struct(*_INTERVAL)
-    goes = F.struct((F.col("lines") + more).alias("lines"), F.col("part.doc_id").alias("first_doc_id"), F.col("part.at").alias("first_at"))
+    goes = F.struct((F.col("lines") + F.col("more")).alias("lines"), F.col("part.doc_id").alias("first_doc_id"), F.col("part.at").alias("first_at"))
     both = F.when(F.col("part").isNull(), F.array(stays)).when(F.col("part") == F.struct("doc_id", "at"), F.array(stays, goes)).otherwise(F.array(goes))
-    out = cut(joined.select("doc_id", "at", F.explode(both).alias("i")).select("doc_id", "at", "i.*"), "line-intervals")
-    discard(parts)
-    return out
+    return cut(joined.select("doc_id", "at", F.explode(both).alias("i")).select("doc_id", "at", "i.*"), "line-intervals")
 
 
 def intervals(lines: DataFrame) -> DataFrame:
@@ -95,12 +94,12 @@ def intervals(lines: DataFrame) -> DataFrame:
     members = None
     for n in sorted(levels, reverse=True)[1:]:
         beyond = levels[2 * n].where(_LATE).select("doc_id", "at")
-        own = levels[n].join(beyond, ["doc_id", "at"], "left_anti").select("doc_id", "at", F.lit(n).alias("lines"), "first_doc_id", "first_at")
+        own = levels[n].join(beyond, ["doc_id", "at"], "left_anti").select("doc_id", "at", "lines", "first_doc_id", "first_at")
         if n > 2:
-            following = levels[n // 2].select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"))
+            following = levels[n // 2].select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), F.col("lines").alias("more"), F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"))
         else:
-            following = lines.select(F.col("doc_id").alias("_doc_id"), F.posexplode("ids").alias("_at", "id")).select("_doc_id", "_at", "id.a", "id.b")
-        made = _longer(own if members is None else members.union(own), following, n // 2)
+            following = lines.select(F.col("doc_id").alias("_doc_id"), F.posexplode("ids").alias("_at", "id")).select("_doc_id", "_at", F.lit(1).alias("more"), "id.a", "id.b")
+        made = _longer(own if members is None else members.union(own), following)
         if members is not None:
             discard(members)
         members = made
