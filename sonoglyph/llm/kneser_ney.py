@@ -161,10 +161,11 @@ def probabilities(asked: DataFrame, counts: dict[int, tuple[DataFrame, list[floa
         return asked.select("key", F.lit(1.0 / SYMBOLS).alias("p"))
     seen, d = counts[n]
     context = F.shiftrightunsigned("key", BITS)
-    left = sum((F.lit(d[i - 1]) * F.count_if(F.col("c") == i if i < 3 else F.col("c") >= 3) for i in (1, 2, 3)), F.lit(0.0)) / F.sum("c")
+    # an array, not constants in the expressions, so that all tables run the same compiled code
+    off = F.element_at(F.array(*(F.lit(x) for x in d)), F.least(F.col("c"), F.lit(3)).cast("int"))
+    left = F.sum(off) / F.sum("c")
     contexts = seen.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), left.alias("left"))
     lower = probabilities(asked.select(_suffix(n - 1).alias("key")).distinct(), counts, n - 1).select(F.col("key").alias("suffix"), F.col("p").alias("below"))
-    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
     share = F.coalesce(F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total"), F.lit(0.0))
     rows = asked.select("key", context.alias("context"), _suffix(n - 1).alias("suffix"))
     joined = rows.join(seen, "key", "left").join(contexts, "context", "left").join(lower, "suffix")
