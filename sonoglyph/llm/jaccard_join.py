@@ -184,6 +184,7 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFr
     sketch = spark.sparkContext.broadcast(_order_sketch(docs, size))
     schema = "doc_id long, text_hash long, n_shingles long, print_a long, print_b long, prefix array<long>"
     described = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(sketch, size, percent), schema), "jaccard-sets")
+    sketch.destroy()  # what it was for is written
     prints = ["n_shingles", "print_a", "print_b"]
     classes = cut(described.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("first")), "jaccard-classes")
 
