@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoglyph.dims import CONFUSABLE, EXPRESSIVENESS, SCRIPT_LANGUAGES, SCRIPT_THRESHOLDS
+from sonoglyph.functions import text as X
 from sonoglyph.operators import budget as B, route as O
 from sonoglyph.plans.registry import Registry, read, sql_rows
 
@@ -28,11 +29,12 @@ _ALIASES = "a as (select 'en-' || n_nationkey as locale, 'speaker' || n_nationke
 
 @R.query(f"""
 with {_MODELS}, r as ({_ROUTES}), {_ALIASES},
-q as (select c_custkey, case when c_custkey % 4 = 0 then 'speaker' || (c_custkey % 60) when c_custkey % 4 = 1 then null else 'en-' || c_nationkey end as locale from customer)
+q as (select c_custkey, case when c_custkey % 4 = 0 then 'speaker' || (c_custkey % 60) when c_custkey % 4 = 1 then null when c_custkey % 4 = 2 then lower('EN-' || c_nationkey) else 'en-' || c_nationkey end as locale from customer)
 select c_custkey, coalesce(a.speaker, q.locale) as speaker, coalesce(r.model, 'default') as model, r.speaker_id
 from q left join a using (locale) left join r on r.speaker = coalesce(a.speaker, q.locale)""")
 def alias_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = read(spark, sf_dir, "customer").selectExpr("c_custkey", "case when c_custkey % 4 = 0 then 'speaker' || (c_custkey % 60) when c_custkey % 4 = 1 then null else 'en-' || c_nationkey end as locale")
+    asked = read(spark, sf_dir, "customer").selectExpr("c_custkey", "case when c_custkey % 4 = 0 then 'Speaker' || (c_custkey % 60) when c_custkey % 4 = 1 then null when c_custkey % 4 = 2 then 'EN-' || c_nationkey else 'en-' || c_nationkey end as locale")
+    asked = asked.withColumn("locale", X.normalize_locale(F.col("locale")))
     aliases = read(spark, sf_dir, "nation").selectExpr("'en-' || n_nationkey as locale", "'speaker' || n_nationkey as speaker")
     return O.resolve(asked, aliases, O.build_routes(_models(spark, sf_dir)), "default").select("c_custkey", "speaker", "model", "speaker_id")
 

@@ -142,11 +142,11 @@ def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("label", F.transform("s", lambda v: F.round(v["x"] / F.col("norm"), 6)).alias("pooled"))
 
 
-@R.query(f"with {_W} select a.vec_id, round(list_cosine_similarity(a.w, b.w), 6) as score from w a join w b on b.vec_id = a.vec_id + 1")
+@R.query(f"with {_W} select a.vec_id, round(list_cosine_similarity(a.w, b.w) / greatest(abs(0.07), 0.01), 6) as score from w a join w b on b.vec_id = a.vec_id + 1")
 def cosine_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     waves = _waves(spark, sf_dir)
     after = waves.select((F.col("vec_id") - 1).alias("vec_id"), F.col("w").alias("v"))
-    return waves.join(after, "vec_id").select("vec_id", F.round(A.cosine(F.col("w"), F.col("v")), 6).alias("score"))
+    return waves.join(after, "vec_id").select("vec_id", F.round(A.cosine(F.col("w"), F.col("v")) / max(abs(0.07), 0.01), 6).alias("score"))
 
 
 @R.query("select event_id, len(list_filter([0.0, 10.0, 25.0, 50.0, 100.000001], lambda b: value >= b)) - 1 as bin from events")

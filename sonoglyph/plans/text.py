@@ -140,10 +140,10 @@ def exactly_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("conv_id", "turn", "(coalesce(text, '') <> '') <> (coalesce(ssml, '') <> '') as valid")
 
 
-@R.query("select user_id, event_id, lower(trim(event_type)) in ('1', 'true', 'yes', 'on') or lower(trim(case event_id % 3 when 0 then ' Yes ' when 1 then 'off' else 'ON' end)) in ('1', 'true', 'yes', 'on') as enabled from events")
+@R.query("select user_id, event_id, coalesce(lower(trim(case event_id % 4 when 0 then ' Yes ' when 1 then 'off' when 2 then 'ON' end)) in ('1', 'true', 'yes', 'on'), true) as enabled from events")
 def env_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.expr("case event_id % 3 when 0 then ' Yes ' when 1 then 'off' else 'ON' end")
-    return read(spark, sf_dir, "events").select("user_id", "event_id", (X.is_enabled(F.col("event_type")) | X.is_enabled(given)).alias("enabled"))
+    given = F.expr("case event_id % 4 when 0 then ' Yes ' when 1 then 'off' when 2 then 'ON' end")
+    return read(spark, sf_dir, "events").select("user_id", "event_id", X.is_enabled(given, True).alias("enabled"))
 
 
 @R.query("select page_id, substr(sha256(url), 1, 16) as cache_dir, substr(sha256(url), 1, 12) as log_key, sha1(html) as content_sha1 from pages")
