@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -103,6 +104,16 @@ def language_weight(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def outside_latin(text: Column) -> Column:
+    """What a text has but Latin letters and characters of no script of their own: empty for most texts."""
+    return F.regexp_replace(text, r"[\p{IsLatin}\p{IsCommon}\p{IsInherited}\p{IsUnknown}]+", "")
+
+
 def is_latin_only(text: Column) -> Column:
     """Nothing but Latin letters and characters of no script of their own."""
     return ~text.rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}\p{IsUnknown}]")
@@ -112,14 +123,23 @@ def has_han_without_kana(text: Column) -> Column:
     return text.rlike(r"\p{IsHan}") & ~text.rlike(r"[\p{IsHiragana}\p{IsKatakana}]")
 
 
-def language_by_script(text: Column) -> Column:
-    """A language guessed from scripts alone."""
-    has = lambda s: text.rlike(rf"\p{{Is{s}}}")
-    kana = text.rlike(r"[\p{IsHiragana}\p{IsKatakana}]")
-    ladder = F.when(has("Han") & kana, "ja").when(has("Han"), "zh")
-    for script, code in (("Hangul", "ko"), ("Thai", "th"), ("Devanagari", "hi"), ("Arabic", "ar"), ("Hebrew", "he"), ("Greek", "el"), ("Cyrillic", "ru"), ("Tamil", "ta"), ("Telugu", "te"), ("Bengali", "bn"), ("Latin", "en")):
+# Scripts that a language is guessed from, in the order in which they are looked for.
+SCRIPT_LADDER = [
+    ("Hangul", "ko"), ("Thai", "th"), ("Devanagari", "hi"), ("Arabic", "ar"), ("Hebrew", "he"), ("Greek", "el"), ("Cyrillic", "ru"), ("Tamil", "ta"), ("Telugu", "te"), ("Bengali", "bn"),
+    ("Latin", "en"),
+]
+
+
+def language_by_script(text: Column, rest: Column | None = None) -> Column:
+    """A language guessed from scripts alone; ``rest`` is ``outside_latin`` of the text, if it is known."""
+    if rest is None:
+        return let(outside_latin(text), lambda r: language_by_script(text, r))
+    has = lambda s: rest.rlike(rf"\p{{Is{s}}}")
+    ladder = F.when(has("Han"), F.when(rest.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), "ja").otherwise("zh"))
+    for script, code in SCRIPT_LADDER[:-1]:
         ladder = ladder.when(has(script), code)
-    return ladder.otherwise("und")
+    latin = F.when(text.rlike(r"\p{IsLatin}"), "en").otherwise("und")
+    return F.when(rest == "", latin).otherwise(F.coalesce(ladder, latin))
 
 
 def sanitize_prompt(text: Column) -> Column:

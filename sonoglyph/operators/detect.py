@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from sonoglyph.dims import BANNED_LATIN, COMMON_LATIN, CONFUSABLE, DEFAULT_THRESHOLD, MARKERS, SCRIPT_LANGUAGES, SCRIPT_THRESHOLDS, SCRIPTS
-from sonoglyph.functions.text import has_han_without_kana, is_latin_only, language_by_script
-from sonoglyph.operators.segment import merge_languages, script_of, script_runs
+from sonoglyph.functions.text import SCRIPT_LADDER, has_han_without_kana, language_by_script, let, outside_latin
+from sonoglyph.operators.segment import RUNS, script_of
 
 #: What a detector says of a text: its label, how sure it is of it and of the main language, and whether it is reliable.
 Detector = Callable[[Column, Column], Column]
+#: The tokens of a run in order, given the main language; characters between them belong to none.
+Tokenizer = Callable[[Column, Column], Column]
 
 
 def marker_language(text: Column) -> Column:
     """The first language of which the text has a script or character that no other has; null without one."""
-    found = [(code, "".join([*(rf"\p{{Is{s}}}" for s in scripts), letters])) for code, scripts, letters in MARKERS]
-    any_of_them = text.rlike("[" + "".join(those for _, those in found) + "]")  # one look spares most texts the others
-    return F.when(any_of_them, F.coalesce(*(F.when(text.rlike(f"[{those}]"), code) for code, those in found)))
+    return let(outside_latin(text), _marked)
+
+
+def _marked(rest: Column) -> Column:
+    """``marker_language`` of what a text has outside Latin; all settling characters are there."""
+    return F.when(rest != "", F.coalesce(*(F.when(rest.rlike(f"[{''.join(rf'\p{{Is{x}}}' for x in scripts)}{letters}]"), code) for code, scripts, letters in MARKERS)))
 
 
 def script_set(text: Column) -> Column:
@@ -38,49 +46,150 @@ def allowed(detections: Column, languages: list[str] | None, k: int = 3) -> Colu
 
 def main_language(text: Column, detected: Column, reliable: Column) -> Column:
     """A text's main language: by settling characters, else the detector's label unless it is of a kind that is often wrong."""
-    by_script = language_by_script(text)
-    return F.coalesce(marker_language(text), (
-        F.when(F.coalesce(detected, F.lit("und")) == "und", by_script).when((detected == "ja") & has_han_without_kana(text), "zh")
-        .when(detected.isin(*BANNED_LATIN), by_script).when(~detected.isin(*COMMON_LATIN) & is_latin_only(text), by_script)
-        .when(~F.coalesce(reliable, F.lit(False)) & is_latin_only(text), "en").otherwise(detected)))
+
+    def chosen(rest: Column) -> Column:
+        latin, by_script = rest == "", language_by_script(text, rest)
+        han_alone = rest.rlike(r"\p{IsHan}") & ~rest.rlike(r"[\p{IsHiragana}\p{IsKatakana}]")
+        said = (
+            F.when((F.coalesce(detected, F.lit("und")) == "und") | detected.isin(*BANNED_LATIN) | latin & ~detected.isin(*COMMON_LATIN), by_script)
+            .when((detected == "ja") & han_alone, "zh").when(~F.coalesce(reliable, F.lit(False)) & latin, "en").otherwise(detected))
+        return F.coalesce(_marked(rest), said)
+
+    return let(outside_latin(text), chosen)
+
+
+def _table(pairs: dict) -> Column:
+    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
 def script_valid(script: Column, language: Column) -> Column:
     """Whether text of a language can be in a script: one that several share, or one that settles the language."""
-    shared = ((s, language.isin(*codes)) for s, codes in SCRIPT_LANGUAGES.items())
-    own = ((s, language == code) for code, scripts, _ in MARKERS for s in scripts)
-    return reduce(lambda c, x: c.when(script == x[0], x[1]), [*shared, *own], F.when(script.isin("Common", "Inherited", "Unknown"), True)).otherwise(False)
+    languages = {s: [code] for code, scripts, _ in MARKERS for s in scripts} | SCRIPT_LANGUAGES
+    return script.isin("Common", "Inherited", "Unknown") | F.coalesce(F.array_contains(F.element_at(_table(languages), script), language), F.lit(False))
 
 
-def threshold(script: Column, main: Column, detected: Column) -> tuple[Column, Column]:
-    """Least confidence in the detected language and most in the main one for a switch."""
-    both = [(main.isin(*codes) & detected.isin(*codes), pair) for codes, pair in CONFUSABLE]
-    both += [((script == s) & main.isin(*codes) & detected.isin(*codes), SCRIPT_THRESHOLDS[s]) for s, codes in SCRIPT_LANGUAGES.items()]
-    ladder = lambda i: F.coalesce(*(F.when(when, pair[i]) for when, pair in both), F.lit(DEFAULT_THRESHOLD[i]))
-    return ladder(0), ladder(1)
+def threshold(script: Column, main: Column, detected: Column) -> Column:
+    """Least confidence in the detected language and most in the main one for a switch, as a pair."""
+    pairs = {f"{a} {b}": list(pair) for codes, pair in reversed(CONFUSABLE) for a in codes for b in codes}
+    languages = F.element_at(_table(SCRIPT_LANGUAGES), script)
+    shared = F.when(F.array_contains(languages, main) & F.array_contains(languages, detected), F.element_at(_table({k: list(v) for k, v in SCRIPT_THRESHOLDS.items()}), script))
+    return F.coalesce(F.element_at(_table(pairs), F.concat_ws(" ", main, detected)), shared, F.lit(list(DEFAULT_THRESHOLD)))
 
 
 def biased_language(text: Column, main: Column, script: Column, said: Column) -> Column:
     """A span's language: the detector's word, but the main language where two are easily confused and it is not quite sure."""
     top = said["language"]
-    least, most = threshold(script, main, top)
-    sure = (said["probability"] > least) & (F.coalesce(said["main_probability"], F.lit(0.0)) < most)
-    return (
-        F.when((script == "Han") & ~main.isin("zh", "ja"), F.when(has_han_without_kana(text), "zh").otherwise("ja"))
-        .when(top.isNull() | top.isin(*BANNED_LATIN) | (top == main), main).when(least > 0.9, F.when(sure, top).otherwise(main)).otherwise(top))
 
+    def switched(pair: Column) -> Column:
+        sure = (said["probability"] > pair[0]) & (F.coalesce(said["main_probability"], F.lit(0.0)) < pair[1])
+        return F.when((pair[0] > 0.9) & ~sure, main).otherwise(top)
 
-def split_languages(texts: DataFrame, key: list[str], detect: Detector, main: str = "main", text: str = "text") -> DataFrame:
+    return (
+        F.when((script == "Han") & ~main.isin("zh", "ja"), F.when(has_han_without_kana(text), "zh").otherwise("ja"))
+        .when(top.isNull() | (top == main) | top.isin(*BANNED_LATIN), main).otherwise(let(threshold(script, main, top), switched)))
+
+
+def _pieces(run: Column, script: Column, main: Column, detect: Detector, tokenize: Tokenizer | None) -> Column:
+    """(n, language) of the parts of a run whose script the main language can have: its tokens, found one after another, and what
+    stands between them, which is undetermined. Tokens that are not found count for nothing; a run without any is the main
+    language's. Undetermined tokens are the token's before them, at the run's beginning the first determined one's."""
+
+    def judged(token: Column) -> Column:
+        return let(detect(token, main), lambda said: biased_language(token, main, script, said))
+
+    if tokenize is None:
+        return F.array(F.struct(F.length(run).alias("n"), judged(run).alias("language")))
+    piece = lambda n, language: F.struct(n.cast("int").alias("n"), language.alias("language"))
+    none = F.array().cast("array<struct<n:int,language:string>>")
+
+    def add(acc: Column, token: Column) -> Column:
+        at = F.when(token != "", F.position(token, run, acc["at"]))
+        gap = F.when(at > acc["at"], F.array(piece(at - acc["at"], F.lit(None).cast("string")))).otherwise(none)
+        found = F.struct((at + F.length(token)).cast("int").alias("at"), F.concat(acc["pieces"], gap, F.array(piece(F.length(token), judged(token)))).alias("pieces"))
+        return F.when(at > 0, found).otherwise(acc)
+
+    def settled(x: Column) -> Column:
+        known = F.get(F.filter(x["pieces"], lambda p: p["language"] != "und"), F.lit(0))["language"]
+        first = F.array_position(F.transform(x["pieces"], lambda p: p["language"] != "und"), True)
+        led = F.transform(x["pieces"], lambda p, i: F.struct(p["n"].alias("n"), F.when(p["language"].isNull(), "und").when((p["language"] == "und") & (i < first - 1), known).otherwise(p["language"]).alias("language")))
+        rest = F.length(run) - x["at"] + 1
+        return F.when(F.size(led) == 0, F.array(piece(F.length(run), main))).when(rest > 0, F.concat(led, F.array(piece(rest, F.lit("und"))))).otherwise(led)
+
+    return let(F.aggregate(tokenize(run, main), F.struct(F.lit(1).alias("at"), none.alias("pieces")), add), settled)
+
+
+def _spans(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Spans of the parts (n, language, script) of texts: the bounds of each text's spans, and starts, ends, scripts and languages. A
+    span's script is that of its first determined part, without one the first that is not Common."""
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    values = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets -= offsets[0]
+    size, counts = len(values), np.diff(offsets)
+    n = values.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    language = values.field("language").dictionary_encode()
+    known = np.asarray(pc.not_equal(values.field("language"), "und"))
+    named = np.asarray(pc.not_equal(values.field("script"), "Common"))
+    begin = np.repeat(offsets[:-1], counts)
+    at = np.arange(size)
+    before = np.maximum.accumulate(np.where(known, at, -1)) if size else at
+    after = np.minimum.accumulate(np.where(known, at, size)[::-1])[::-1] if size else at
+    # the part whose language each one has: the last determined one, at the text's beginning the first; -1 without any
+    own = np.where(before >= begin, before, np.where(after < np.repeat(offsets[1:], counts), after, -1))
+    codes = np.append(np.asarray(language.indices, np.int64), -1)
+    filled = codes[own]
+    first = (at == begin) | np.append(True, filled[1:] != filled[:-1])[:size]
+    heads = np.flatnonzero(first)
+    ends = np.cumsum(n)
+    base = np.repeat((np.append(0, ends)[offsets[:-1]]), counts)
+    start = (ends - n - base)[heads]
+    tail = np.append(heads[1:], size)[: len(heads)] - 1
+    end = (ends - base)[tail]
+    lead = own[heads]
+    next_named = np.minimum.accumulate(np.where(named, at, size)[::-1])[::-1][heads] if size else heads
+    speaks = np.where(lead >= 0, lead, np.where(next_named <= tail, next_named, heads))
+    languages = pc.fill_null(language.dictionary.take(pa.array(filled[heads], mask=lead < 0)), "und")
+    return np.append(0, np.cumsum(first))[offsets], start, end, values.field("script").take(pa.array(speaks)), languages
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        parts = b.column("_parts")
+        bounds, start, end, script, language = _spans(parts if not parts.null_count else pc.fill_null(parts, pa.scalar([], parts.type)))
+        counts = np.diff(bounds)
+        row = np.repeat(np.arange(len(counts)), counts)
+        texts = b.column("_text").to_pylist()
+        text = [texts[r][x:y] for r, x, y in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
+        keys = b.drop_columns(["_text", "_parts"]).take(pa.array(row))
+        seq = np.arange(len(row)) - bounds[:-1][row] + 1 if len(row) else row
+        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(seq, pa.int64()), pa.array(text, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), script, language],
+                                         [*keys.schema.names, "seq", "text", "start", "end", "script", "language"])
+
+
+def split_languages(texts: DataFrame, key: list[str], detect: Detector, main: str = "main", text: str = "text", tokenize: Tokenizer | None = None) -> DataFrame:
     """(key, seq, text, start, end, script, language) of the spans of one language of ``texts`` (key, text, main).
 
-    Texts are parted into runs of one script. Common runs are undetermined and join their neighbours; a run in a script that
-    the main language cannot have is what the detector says, if reliably, else what its script says; any other is judged
-    with a bias for the main language. A run is one token. Null and empty texts have no span.
+    Texts are parted into runs of one script. Common runs are undetermined; a run in a script that the main language cannot
+    have is what the detector says, if reliably, else what its script says; any other is parted into tokens, each judged
+    with a bias for the main language (without ``tokenize`` the run is one token). Adjacent parts of one language are one
+    span; undetermined ones join the part before them, at the text's beginning the first determined one. Null and empty
+    texts have no span.
+
+    All of it happens within the text's row, without a shuffle: parts are merged batch by batch, only spans become rows.
     """
-    runs = script_runs(texts.select(*key, F.col(main).alias("_main"), F.col(text).alias("text")), [*key, "_main"])
-    run, script, main_ = F.col("run"), F.col("script"), F.col("_main")
-    said = detect(run, main_)
-    other = F.when(script == "Han", F.when(has_han_without_kana(run), "zh").otherwise("ja")).when(F.coalesce(said["reliable"], F.lit(False)), said["language"]).otherwise(language_by_script(run))
-    blank = script.isin("Common", "Inherited") | (F.trim(run) == "")
-    language = F.when(blank, "und").when(~script_valid(script, main_), other).otherwise(biased_language(run, main_, script, said))
-    return merge_languages(runs.withColumn("language", language), [*key, "_main"]).drop("_main")
+    run, script, main_ = (lambda r: r["run"]), (lambda r: r["script"]), F.col("_main")
+    by_script = _table(dict(SCRIPT_LADDER) | {"Han": "zh"})
+
+    def parts(r: Column) -> Column:
+        whole = lambda language: F.array(F.struct(F.length(run(r)).alias("n"), language.alias("language")))
+        foreign = lambda said: F.when(F.coalesce(said["reliable"], F.lit(False)), said["language"]).otherwise(F.coalesce(F.element_at(by_script, script(r)), F.lit("und")))
+        blank = script(r).isin("Common", "Inherited") | (F.trim(run(r)) == "")
+        pieces = (
+            F.when(blank, whole(F.lit("und"))).when(script_valid(script(r), main_), _pieces(run(r), script(r), main_, detect, tokenize))
+            .when(script(r) == "Han", whole(F.lit("zh"))).otherwise(whole(let(detect(run(r), main_), foreign))))
+        return F.transform(pieces, lambda p: F.struct(p["n"].alias("n"), p["language"].alias("language"), script(r).alias("script")))
+
+    runs = F.transform(F.regexp_extract_all("_text", F.lit(RUNS), F.lit(0)), lambda r: F.struct(r.alias("run"), script_of(r).alias("script")))
+    rows = texts.select(*key, F.col(main).alias("_main"), F.col(text).alias("_text")).select(*key, "_text", F.flatten(F.transform(runs, parts)).alias("_parts"))
+    schema = StructType([*texts.select(*key).schema, StructField("seq", LongType()), StructField("text", StringType()), StructField("start", IntegerType()),
+                         StructField("end", IntegerType()), StructField("script", StringType()), StructField("language", StringType())])
+    return rows.mapInArrow(_span_rows, schema)

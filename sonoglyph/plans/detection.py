@@ -123,7 +123,7 @@ def allowed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.array_join(F.transform("k", lambda d: d["language"]), ",").alias("languages"), F.get("k", 0)["probability"].alias("probability"))
 
 
-#: What the detector says of a run: it is unsure of short runs, takes long ones for another language and some for one of no use.
+#: What the detector says of a token or run: it is unsure of short ones, takes some for another language and some for one of no use.
 _SAID = {"language": "case when length({0}) % 7 = 6 then 'es' when length({0}) % 11 = 10 then 'wo' when length({0}) < 3 then 'und' else {1} end", "reliable": "length({0}) > 4"}
 
 
@@ -133,26 +133,61 @@ def _said(run: Column, main: Column) -> Column:
     return F.struct(language.alias("language"), F.lit(0.9).alias("probability"), F.lit(0.05).alias("main_probability"), (n > 4).alias("reliable"))
 
 
+def _tokens(run: Column, main: Column) -> Column:
+    """Up to six characters but e, which belongs to no token."""
+    return F.regexp_extract_all(run, F.lit("[^e]{1,6}"), F.lit(0))
+
+
 _RUNS = "(?s)" + "|".join(rf"\p{{{s}}}+" for s in ["Latin", "Common", "Inherited", *SCRIPTS[1:]]) + "|.+?"
 _SCRIPT = "case " + " ".join(rf"when regexp_matches(run, '^\p{{{s}}}') then '{s}'" for s in ["Latin", "Common", "Inherited", *SCRIPTS[1:]]) + " else 'Unknown' end"
-_TOP = _SAID["language"].format("run", "main")
 
 
-@R.query(f"""
+def _split_sql(pieces: str) -> str:
+    """``pieces`` (doc_id, seq, k, piece, script, first, last) are the parts of runs in order, ``first`` and ``last`` their languages."""
+    order = "partition by doc_id order by seq, k"
+    return f"""{pieces},
+f as (select *, coalesce(last_value(nullif(language, 'und') ignore nulls) over ({order} rows between unbounded preceding and current row),
+        first_value(nullif(language, 'und') ignore nulls) over ({order} rows between current row and unbounded following), 'und') as filled,
+        coalesce(sum(length(piece)) over ({order} rows between unbounded preceding and 1 preceding), 0)::bigint as start from l),
+c as (select *, case when lag(filled) over ({order}) is not distinct from filled and row_number() over ({order}) > 1 then 0 else 1 end as change from f),
+i as (select *, sum(change) over ({order} rows between unbounded preceding and current row) as island from c)
+select doc_id, island::bigint as seq, filled as language, md5(string_agg(piece, '' order by seq, k)) as text_md5, min(start) as start, max(start + length(piece)) as "end" from i group by doc_id, island, filled"""
+
+
+def _judged(t: str) -> str:
+    return _bias_sql(t, "main", "script", _SAID["language"].format(t, "main"), "0.9", "0.05")
+
+
+_SPLIT = f"""
 with {_DOCS}, m as (select doc_id, text, {_main_sql('text', 'label', 'reliable')} as main from d),
 r as (select doc_id, main, unnest(regexp_extract_all(text, '{_RUNS}')) as run, unnest(range(len(regexp_extract_all(text, '{_RUNS}')))) as seq from m),
-x as (select *, {_SCRIPT} as script, {_TOP} as top, coalesce(sum(length(run)) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding), 0)::bigint as start from r),
-l as (select *, case when script in ('Common', 'Inherited') or trim(run) = '' then 'und' when not {_valid_sql('script', 'main')} then case when script = 'Han' then 'zh' when {_SAID['reliable'].format('run')} then top else {_script_sql('run')} end
-  else {_bias_sql('run', 'main', 'script', 'top', '0.9', '0.05')} end as language from x),
-f as (select *, coalesce(last_value(nullif(language, 'und') ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and current row),
-        first_value(nullif(language, 'und') ignore nulls) over (partition by doc_id order by seq rows between current row and unbounded following), 'und') as filled from l),
-c as (select *, case when lag(filled) over (partition by doc_id order by seq) is not distinct from filled and row_number() over (partition by doc_id order by seq) > 1 then 0 else 1 end as change from f),
-i as (select *, sum(change) over (partition by doc_id order by seq rows between unbounded preceding and current row) as island from c)
-select doc_id, island::bigint as seq, filled as language, md5(string_agg(run, '' order by seq)) as text_md5, min(start) as start, max(start + length(run)) as "end" from i group by doc_id, island, filled""")
+x as (select *, {_SCRIPT} as script from r),
+w as (select *, script in ('Common', 'Inherited') or trim(run) = '' as blank, {_valid_sql('script', 'main')} as valid from x),
+o as (select doc_id, seq, script, run, main, case when blank then 'und' when script = 'Han' then 'zh' when {_SAID['reliable'].format('run')} then {_SAID['language'].format('run', 'main')} else {_script_sql('run')} end as language from w where blank or not valid)"""
+
+
+@R.query(_split_sql(_SPLIT + f""",
+l as (select doc_id, seq, 0 as k, run as piece, language from o union all select doc_id, seq, 0, run, {_judged('run')} from w where valid and not blank)"""))
 def split_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole splitter: main language, script runs, languages of runs, merged spans."""
+    """The splitter with runs as tokens: main language, script runs, languages of runs, merged spans."""
+    return _split(spark, sf_dir, None)
+
+
+@R.query(_split_sql(_SPLIT + f""",
+t as (select doc_id, seq, script, main, run, unnest(regexp_extract_all(run, '[^e]{{1,6}}|e+')) as piece, unnest(range(len(regexp_extract_all(run, '[^e]{{1,6}}|e+')))) as k from w where valid and not blank),
+j as (select *, case when starts_with(piece, 'e') then null else {_judged('piece')} end as said from t),
+q as (select *, first_value(nullif(said, 'und') ignore nulls) over (partition by doc_id, seq order by k rows between unbounded preceding and unbounded following) as known,
+        count(nullif(said, 'und')) over (partition by doc_id, seq order by k rows between unbounded preceding and current row) as passed, count(said) over (partition by doc_id, seq) as tokens from j),
+l as (select doc_id, seq, k, piece, case when tokens = 0 then main when said is null then 'und' when said = 'und' and passed = 0 then coalesce(known, 'und') else said end as language from q
+      union all select doc_id, seq, 0, run, language from o)"""))
+def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole splitter: the runs that the main language can have are parted into tokens, what stands between them is undetermined."""
+    return _split(spark, sf_dir, _tokens)
+
+
+def _split(spark: SparkSession, sf_dir: str, tokenize: D.Tokenizer | None) -> DataFrame:
     texts = _texts(spark, sf_dir).select("doc_id", "text", D.main_language(F.col("text"), F.col("label"), F.col("reliable")).alias("main"))
-    return D.split_languages(texts, ["doc_id"], _said).select("doc_id", "seq", "language", F.md5("text").alias("text_md5"), "start", "end")
+    return D.split_languages(texts, ["doc_id"], _said, tokenize=tokenize).select("doc_id", "seq", "language", F.md5("text").alias("text_md5"), "start", "end")
 
 
 _ASKED = "case doc_id % 8 when 0 then ' Auto ' when 1 then lang || '-XX' when 2 then upper(lang) when 3 then 'ENGLISH' when 4 then 'Klingon' when 5 then '' when 6 then 'tlh_aa' else lang || '_us' end"

@@ -46,3 +46,58 @@ def test_confusable_languages_stay(spark):
     script = F.when(F.col("main") == "zh", "Han").otherwise("Latin")
     assert not df.where(D.biased_language(F.lit("x"), F.col("main"), script, said) != F.col("want")).collect()
     assert df.limit(1).select(D.biased_language(F.lit("山か"), F.lit("en"), F.lit("Han"), said)).first()[0] == "ja"
+
+
+# Text, main language and languages that its spans must have; the detector knows scripts alone, tokens are words or single characters.
+SWITCHES = [
+    ("This is English これは日本語です", "en", {"en", "ja"}), ("Hello    世界", "en", {"en", "zh"}), ("Hello,世界", "en", {"en", "zh"}), ("Hello123世界", "en", {"en", "zh"}), ("안녕Hello", "ko", {"ko", "en"}),
+    ("Hello 世界 and 안녕", "ko", {"en", "zh", "ko"}), ("This is 中文 and これ and 한글", "ja", {"en", "ja", "ko"}), ("English 中文 English 中文", "en", {"en", "zh"}),
+]
+# Text, main language and the number of its spans.
+MERGED = [("100块钱", "zh", 1), ("1000円", "ja", 1), ("Hello!", "en", 1), ("你好！", "zh", 1), ("Hello world", "en", 1), ("Hello 世界 world", "en", 3)]
+
+
+def _by_script(run, main):
+    code = D.language_by_script(run)
+    language = F.when(run.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), "ja").when(code == "und", main).when((code == "zh") & (main == "ja"), "ja").otherwise(code)
+    return F.struct(language.alias("language"), F.lit(0.99).alias("probability"), F.lit(0.0).alias("main_probability"), F.lit(True).alias("reliable"))
+
+
+@pytest.mark.parametrize("tokenize", [None, lambda run, main: F.split(run, ""), lambda run, main: F.regexp_extract_all(run, F.lit(r"\w+"), F.lit(0))])
+def test_switches_and_merges(spark, tokenize):
+    rows = [(t, m, sorted(want), 0) for t, m, want in SWITCHES] + [(t, m, [], n) for t, m, n in MERGED]
+    got = D.split_languages(spark.createDataFrame(rows, "text string, main string, want array<string>, n int"), ["want", "n"], _by_script, tokenize=tokenize)
+    texts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, main string, want array<string>, n int")
+    spans = D.split_languages(texts, ["id", "want", "n"], _by_script, tokenize=tokenize).collect()
+    for i, (text, _, want, n) in enumerate(rows):
+        mine = sorted((r for r in spans if r["id"] == i), key=lambda r: r["seq"])
+        assert "".join(r["text"] for r in mine) == text and all(text[r["start"] : r["end"]] == r["text"] for r in mine)
+        assert set(want) <= {r["language"] for r in mine} and (not n or len(mine) == n), (text, mine)
+        assert all(a["language"] != b["language"] for a, b in zip(mine, mine[1:], strict=False))
+    assert got.count() == len(spans)
+
+
+def test_tokens_within_runs(spark):
+    """A token between others of the main language is a span; gaps are undetermined; tokens that are not found count for nothing."""
+    said = {"bbb": "fr", "ccc": "fr", "uuu": "und"}
+
+    def detect(run, main):
+        language = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in said.items() for x in kv)), run), main)
+        return F.struct(language.alias("language"), F.lit(0.99).alias("probability"), F.lit(0.0).alias("main_probability"), F.lit(True).alias("reliable"))
+
+    cases = [
+        ("aaabbbccc", ["aaa", "bbb", "ccc"], [("aaa", "en"), ("bbbccc", "fr")]),
+        ("xbbbxcccx", ["bbb", "ccc"], [("xbbbxcccx", "fr")]),
+        ("aaa xbbb", ["bbb"], [("aaa x", "en"), ("bbb", "fr")]),
+        ("aaabbb", ["AAA", "bbb", ""], [("aaabbb", "fr")]),
+        ("aaabbb", ["zzz"], [("aaabbb", "en")]),
+        ("bbbuuu aaa", ["bbb", "uuu", "aaa"], [("bbbuuu ", "fr"), ("aaa", "en")]),
+        ("aaa uuubbb", ["aaa", "uuu", "bbb"], [("aaa ", "en"), ("uuubbb", "fr")]),
+        ("aaa", [], [("aaa", "en")]),
+        (None, ["a"], []), ("", ["a"], []),
+    ]
+    texts = spark.createDataFrame([(i, t, "en", k) for i, (t, k, _) in enumerate(cases)], "id int, text string, main string, tokens array<string>")
+    for i, (_, tokens, want) in enumerate(cases):
+        fixed = lambda run, main, tokens=tokens: F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
+        got = D.split_languages(texts.where(f"id = {i}"), ["id"], detect, tokenize=fixed).orderBy("seq").collect()
+        assert [(r["text"], r["language"]) for r in got] == want
