@@ -1,8 +1,9 @@
 """Operator 8, embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact cosines.
 
-Rotations are learned, on a bounded sample, that make the signs of the rotated vectors balanced binary codes. A code is cut
-into disjoint substrings, each of which is the key of one table, so that codes which differ in few bits agree in some
-table; their number grows with the code's length alone. Equal vectors are one class. Classes in one bucket of a table are
+Rotations are learned, on a bounded sample, that make the signs of the centred and rotated vectors balanced binary codes. A
+code is cut into disjoint substrings, each of which is the key of one table, so that codes which differ in few bits agree in
+some table. Where vectors have a direction in common, the same cosine leaves centred ones further apart: the width of the keys and
+the number of tables follow from the length of the sample's mean (``tables_for``), at every number of vectors alike. Equal vectors are one class. Classes in one bucket of a table are
 compared by cosine in double precision in blocks of bounded size, and each pair counts only in the first table in which it
 meets, so links are counted without being listed. A block passes on one edge for each linked class, to the smallest id
 that it is connected to within the block.
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoglyph.llm.graph import components
@@ -28,6 +30,10 @@ COSINE = 0.95
 #: they need longer codes. Of vectors at cosine 0.95 one bit in ten differs, so that a key of 16 bits agrees in 18 % of cases.
 CODE_BITS = 320
 KEY_BITS = 16
+#: Part of the pairs at the least cosine that may not meet, where vectors have a direction in common, and most tables for it.
+MISSED, MOST_TABLES = 0.015, 256
+#: Part of all pairs whose cosines are few enough; more tables of wider keys are not asked for then.
+FEW_PAIRS = 0.02
 #: Vectors of a bucket that one block holds at most, of each of two parts.
 BLOCK = 512
 
@@ -48,6 +54,25 @@ def learn_rotations(vectors: np.ndarray, bits: int) -> np.ndarray:
     return np.hstack([learn_rotation(vectors, seed=SEED + i) for i in range(-(-bits // vectors.shape[1]))])[:, :bits]
 
 
+def tables_for(common: float, cosine: float = COSINE, code_bits: int = CODE_BITS, key_bits: int = KEY_BITS) -> tuple[int, int]:
+    """Bits of a key and number of tables for vectors whose mean has the squared length ``common``.
+
+    Centred, vectors at ``cosine`` are at (cosine - common) / (1 - common), which says how many of their bits agree. With little in
+    common it is ``key_bits`` and ``code_bits``; else, of the widths that miss no more than MISSED, the one with the fewest tables
+    whose cosines are few, or with the fewest cosines. No bits and one table, all pairs in blocks, is what is left where keys would save nothing.
+    """
+    given = (key_bits, code_bits // key_bits)
+    centred = (cosine - common) / (1 - common) if common < 1 else 0.0
+    agree = 1 - np.arccos(np.clip(centred, 0, 1)) / np.pi
+    if (1 - agree**key_bits) ** given[1] <= max(MISSED, (1 - (1 - np.arccos(cosine) / np.pi) ** key_bits) ** given[1]) * 1.1:
+        return given
+    fits = [(k, int(np.ceil(np.log(MISSED) / np.log(1 - agree**k)))) for k in range(1, key_bits + 1)]
+    fits = [(k, n) for k, n in fits if n <= MOST_TABLES]
+    few = [(k, n) for k, n in fits if n <= FEW_PAIRS * 2**k]
+    k, n = min(few, key=lambda x: x[1]) if few else min(fits, key=lambda x: x[1] / 2 ** x[0], default=(0, 1))
+    return (k, n) if n < 2**k else (0, 1)
+
+
 def vectors_of(column: pa.Array, wide: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows with a usable vector (not null, finite, not zero, of length ``wide`` or of the first one's), and their vectors."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,6 +89,10 @@ def vectors_of(column: pa.Array, wide: int | None = None) -> tuple[np.ndarray, n
     return rows, flat[offsets[rows][:, None] + np.arange(wide)]
 
 
+def widths_of(column: pa.Array) -> list[int]:
+    return np.unique(pc.fill_null(pc.list_value_length(column), 0)).tolist()
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
     """Vectors of length 1 in double precision."""
     x = vectors.astype(np.float64)
@@ -71,19 +100,29 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def codes(x: np.ndarray, rotations: np.ndarray, key_bits: int) -> np.ndarray:
+def codes(x: np.ndarray, rotations: np.ndarray, key_bits: int, mean: np.ndarray | float = 0.0) -> np.ndarray:
     """The keys of each unit vector, one a table."""
-    bits = (x @ rotations >= 0).reshape(len(x), -1, key_bits)
+    if not key_bits:
+        return np.zeros((len(x), 1), np.int64)
+    bits = ((x - mean) @ rotations >= 0).reshape(len(x), -1, key_bits)
     return (bits << np.arange(key_bits, dtype=np.int64)).sum(axis=2)
 
 
 def _codes(sent, key_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys and bytes of usable vectors; those of another length than the sample's have keys of their own, by rotations at random."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations = sent.value
+        mean, rotations = sent.value
         for batch in batches:
-            rows, vectors = vectors_of(batch.column("embedding"), len(rotations))
-            if len(rows):
-                keys = codes(units(vectors), rotations, key_bits)
+            for wide in widths_of(batch.column("embedding")):
+                rows, vectors = vectors_of(batch.column("embedding"), wide)
+                if not wide or not len(rows):
+                    continue
+                if wide == len(rotations):
+                    keys = codes(units(vectors), rotations, key_bits, mean)
+                else:
+                    turned = np.random.default_rng(wide).normal(size=(wide, rotations.shape[1]))
+                    keys = codes(units(vectors), turned, key_bits) ^ (wide << 48)
                 ids = batch.column("vec_id").take(pa.array(rows))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([ids, flat, pa.array([v.tobytes() for v in vectors], pa.binary())], ["vec_id", "keys", "vector"])
@@ -118,7 +157,12 @@ def _small_links(group: np.ndarray, ids: np.ndarray, x: np.ndarray, keys: np.nda
 def _blocks(kind: np.dtype, cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come in the order of their blocks; the last block of a batch waits for the next batch."""
 
-    def compare(t: pa.Table) -> pa.RecordBatch:
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        wide = pc.binary_length(t.column("vector"))
+        for w in pc.unique(wide):  # a block's vectors are of one length
+            yield of_length(t.filter(pc.equal(wide, w)))
+
+    def of_length(t: pa.Table) -> pa.RecordBatch:
         ids, tab, part, low, high, copies = (t.column(k).to_numpy() for k in ("vec_id", "tab", "part", "low", "high", "copies"))
         x = units(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(ids), -1))
         keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
@@ -155,10 +199,10 @@ def _blocks(kind: np.dtype, cosine: float) -> Callable[[Iterator[pa.RecordBatch]
             held = t if held is None else pa.concat_tables([held, t])
             begins = np.flatnonzero(_begins(held))
             if len(begins) > 1:
-                yield compare(held.slice(0, begins[-1]).combine_chunks())
+                yield from compare(held.slice(0, begins[-1]).combine_chunks())
                 held = held.slice(begins[-1])
         if held is not None and held.num_rows:
-            yield compare(held.combine_chunks())
+            yield from compare(held.combine_chunks())
 
     return run
 
@@ -178,19 +222,24 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, sample: int = SA
 
     Two vectors link if the index lets them meet and their cosine is at least ``cosine``; equal ones always do. n_links is
     the number of other vec_ids linked, component_id the smallest vec_id reachable by links, kept whether that is the
-    vector's own. Null and zero vectors, those with null or non-finite components and those of another length than the
-    sample's first link with nothing, nor does a null vec_id. Of rows that repeat a vec_id the least usable vector counts,
+    vector's own. Null and zero vectors and those with null or non-finite components link with nothing, nor does a null vec_id;
+    vectors link with those of their own length alone, which the most frequent one of the sample's has learned rotations for. Of rows that repeat a vec_id the least usable vector counts,
     and all share its links. No rows, no rows; other columns are not read. ``code_bits`` is a multiple of ``key_bits``.
     """
     if code_bits % key_bits or not 0 < key_bits <= 48:
         raise ValueError("code_bits is a multiple of key_bits, key_bits at most 48")
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    chosen = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()
-    rows, known = vectors_of(chosen.column("embedding")) if chosen.num_rows else ([], None)
-    if not len(rows):
+    fits = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("embedding", lambda c: c != 0)
+    chosen = vectors.where(F.col("embedding").isNotNull() & fits).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()
+    if not chosen.num_rows:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rotations = spark.sparkContext.broadcast(learn_rotations(units(known), code_bits))
+    column = chosen.column("embedding").combine_chunks()
+    wide = np.bincount(pc.list_value_length(column).to_numpy()).argmax()
+    _, known = vectors_of(column, int(wide))
+    mean = units(known).mean(axis=0)
+    key_bits, tables = tables_for(float(mean @ mean), cosine, code_bits, key_bits)
+    rotations = spark.sparkContext.broadcast((mean, learn_rotations(units(known) - mean, max(1, key_bits * tables))))
     coded = vectors.where("vec_id is not null").mapInArrow(_codes(rotations, key_bits), "vec_id long, keys array<long>, vector binary")
     coded = coded.groupBy("vec_id").agg(F.min(F.struct("vector", "keys")).alias("v")).select("vec_id", "v.*")
     coded = cut(coded.withColumn("print", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(7), "vector").alias("b"))), "itq-codes")
