@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sonoglyph.llm.store import cut
+from sonoglyph.llm.store import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,5 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if said == seen or not said[0]:
             break
-        seen, now = said, cut(_small_star(_large_star(now)), "edges")
+        before, seen, now = now, said, cut(_small_star(_large_star(now)), "edges")
+        discard(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

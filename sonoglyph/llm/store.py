@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +27,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_recorded = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``cut`` writes meanwhile."""
+    before, _recorded.paths = getattr(_recorded, "paths", None), []
+    try:
+        yield _recorded.paths
+    finally:
+        _recorded.paths = before
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: its lineage ends there, and a lost executor costs no work before it."""
     path = new_path(df.sparkSession, name)
+    if getattr(_recorded, "paths", None) is not None:
+        _recorded.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,8 +53,21 @@ def discard(*made: DataFrame) -> None:
     """Deletes tables that ``cut`` wrote and that nothing reads any more."""
     for df in made:
         for file in df.inputFiles()[:1]:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def release(docs: DataFrame, paths: list[str]) -> None:
+    """Deletes those of the recorded tables that ``docs`` does not read, and empties the list."""
+    read = {file.rsplit("/", 2)[1] for file in docs.inputFiles()} if paths else set()
+    for path in paths:
+        if path.rsplit("/", 1)[1] not in read:
+            _delete(docs.sparkSession, path)
+    paths.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
