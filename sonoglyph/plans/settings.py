@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonoglyph.functions import text as X
 from sonoglyph.operators.sampling import let
+from sonoglyph.operators.runtime import asked_mode
 from sonoglyph.plans.registry import Registry, read, sql_rows
 from sonoglyph.sources.shared import scratch
 
@@ -22,21 +23,21 @@ _MODE_NAMES = {
     "optimized": "optimized", "auto": "optimized", "fp16": "optimized", "mixed": "optimized", "stable": "optimized", "balanced": "balanced",
     "aggressive": "aggressive", "max": "aggressive", "maximum": "aggressive", "bf16": "bf16", "bfloat16": "bf16", "off": "bf16", "disabled": "bf16", "original": "bf16",
 }
-_RAW = "case c_custkey % 7 when 0 then ' MAX ' when 1 then 'off' when 2 then 'warp' when 3 then 'mixed' when 4 then 'balanced' end"
+_RAW = "case c_custkey % 7 when 0 then ' MAX ' when 1 then 'off' when 2 then 'warp' when 3 then 'mixed' when 4 then 'balanced' when 5 then case when c_custkey % 2 = 0 then '' else '   ' end end"
 _OPTIMIZED = "case c_custkey % 3 when 0 then 'yes' when 1 then 'no' end"
 _DTYPE = "case c_custkey % 5 when 0 then ' float32 ' when 1 then '  ' end"
 
 
 @R.query(f"""
 with m({', '.join(['mode', *_FIELDS])}) as (values {sql_rows(_MODES)}), n(name, mode) as (values {sql_rows(list(_MODE_NAMES.items()))}),
-q as (select c_custkey, coalesce(lower(trim({_RAW})), case when {_OPTIMIZED} in ('1', 'true', 'yes', 'on') then 'optimized' when {_OPTIMIZED} is not null then 'bf16' end) as asked, nullif(trim({_DTYPE}), '') as d from customer)
+q as (select c_custkey, case when coalesce({_RAW}, '') <> '' then nullif(lower(trim({_RAW})), '') else case when {_OPTIMIZED} in ('1', 'true', 'yes', 'on') then 'optimized' when {_OPTIMIZED} is not null then 'bf16' end end as asked, nullif(trim({_DTYPE}), '') as d from customer)
 select c_custkey, case when n.mode is null and asked is not null then null when d is not null then 'custom' else coalesce(n.mode, 'optimized') end as mode, case when n.mode is null and asked is not null then null else coalesce(d, m.dtype) end as dtype,
   case when n.mode is null and asked is not null then null else m.predictor_layers || '/' || m.extra end as others, case when n.mode is null and asked is not null then 'unknown mode ' || asked end as error
 from q left join n on n.name = q.asked left join m on m.mode = coalesce(n.mode, 'optimized')""")
 def precision_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings by the mode that is asked for, under any of its names, or by an older switch; a setting of its own makes the
     mode ``custom``, an unknown mode is an error."""
-    asked = F.coalesce(F.lower(F.trim(F.expr(_RAW))), F.when(X.is_enabled(F.expr(_OPTIMIZED)), "optimized").when(F.expr(_OPTIMIZED).isNotNull(), "bf16"))
+    asked = asked_mode(F.expr(_RAW), F.expr(_OPTIMIZED))
     names = F.create_map(*(F.lit(x) for kv in _MODE_NAMES.items() for x in kv))
     modes = F.create_map(*(x for m in _MODES for x in (F.lit(m[0]), F.struct(*(F.lit(v).alias(f) for f, v in zip(_FIELDS, m[1:], strict=True))))))
     rows = read(spark, sf_dir, "customer").select("c_custkey", asked.alias("asked"), F.nullif(F.trim(F.expr(_DTYPE)), F.lit("")).alias("d"))
