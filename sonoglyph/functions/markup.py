@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SEGMENTS = "segments array<struct<type:string,text:string,speaker:string,duration_ms:int>>, error string"
 DEFAULT_BREAK_MS = 250
@@ -90,3 +91,21 @@ def ssml_segments(ssml: Column | str) -> Column:
 def folded_code_points(text: Column | str) -> Column:
     """Case-folded text in canonical decomposition, a code point an element."""
     return F.pandas_udf(_code_points, "array<string>")(text)
+
+
+class _SegmentRows:
+    """A row for each segment of a text of markup, or one with its error."""
+
+    def eval(self, ssml: str) -> Iterator[tuple]:
+        segments, error = parse_ssml(ssml)
+        for i, s in enumerate(segments or []):
+            yield i, s["type"], s["text"], s["speaker"], s["duration_ms"], None
+        if error is not None:
+            yield None, None, None, None, None, error
+
+
+def ssml_rows(df: DataFrame, ssml: str) -> DataFrame:
+    """``df`` beside (seq, type, segment, speaker, duration_ms, error) of the markup in its column ``ssml``, a table function joined
+    laterally: a row for each segment, one with an error, none for markup that says nothing."""
+    table = F.udtf(_SegmentRows, returnType="seq int, type string, segment string, speaker string, duration_ms int, error string", useArrow=True)
+    return df.lateralJoin(table(F.col(ssml).outer()))

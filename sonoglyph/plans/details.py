@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from sonoglyph.operators.mapping import map_words
 from sonoglyph.plans.registry import Registry, read
 
 R = Registry()
@@ -35,6 +36,32 @@ def word_phoneme_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", n.cast("long").alias("n"), F.array_join(pairs, ",").alias("pairs"))
 
 
+@R.query(r"""
+with s as (select conv_id, turn, text, unnest(string_split(text, '. ')) as s, unnest(range(len(string_split(text, '. ')))) as sentence from conversations),
+o as (select *, coalesce(sum(length(s)) over (partition by conv_id, turn order by sentence rows between unbounded preceding and 1 preceding), 0)::int as shift from s),
+c as (select conv_id, turn, sentence, shift, unnest(range(length(s))) as p, unnest(string_split(s, '')) as ch from o where length(s) > 0),
+r as (select *, sum(case when ch = ' ' then 1 else 0 end) over (partition by conv_id, turn, sentence order by p) as g from c),
+g as (select conv_id, turn, sentence, shift, g, min(p)::int as "start", (max(p) + 1)::int as "end" from r where ch <> ' ' group by all),
+gn as (select *, row_number() over (partition by conv_id, turn order by sentence, g) as n from g),
+w as (select conv_id, turn, unnest(string_split(text, ' ')) as w, unnest(range(len(string_split(text, ' ')))) as i from conversations),
+wo as (select *, coalesce(sum(length(w) + 1) over (partition by conv_id, turn order by i rows between unbounded preceding and 1 preceding), 0)::int as text_start from w),
+wn as (select *, row_number() over (partition by conv_id, turn order by i) as n from wo where w <> ''),
+m as (select conv_id, turn, shift + p as position, (1 + length(ch) + (shift + p) % 3)::int as n_symbols, row_number() over (partition by conv_id, turn order by shift + p) as mark from c where ch in (',', 'e', '?')),
+z as (select gn.conv_id, gn.turn, gn.sentence, wn.i as word, wn.text_start, length(wn.w)::int as text_length, gn.start, gn."end", gn.shift from gn join wn using (conv_id, turn, n))
+select z.conv_id, z.turn, z.sentence::int as sentence, z.word::int as word, text_start, text_length, z.start, z."end", coalesce(min_by(m.n_symbols, m.mark), 0)::int as n_punct
+from z left join m on m.conv_id = z.conv_id and m.turn = z.turn and m.position >= z.start + z.shift and m.position < z."end" + z.shift group by all""")
+def word_phoneme_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole turns and the groups of symbols of their sentences, with the first mark in each group."""
+    key = ["conv_id", "turn"]
+    turns = read(spark, sf_dir, "conversations").select(*key, "text")
+    sentences = turns.select(*key, F.posexplode(F.split("text", r"\. ")).alias("sentence", "s")).select(*key, "sentence", F.when(F.length("s") > 0, F.split("s", "")).otherwise(F.array().cast("array<string>")).alias("symbols"))
+    before = F.coalesce(F.sum(F.length("w") + 1).over(Window.partitionBy(*key).orderBy("word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    words = turns.select(*key, F.posexplode(F.split("text", " ")).alias("word", "w")).select(*key, "word", before.alias("text_start"), F.length("w").alias("text_length")).where("text_length > 0")
+    symbols = turns.select(*key, F.posexplode(F.split(F.replace(F.col("text"), F.lit(". "), F.lit("")), "")).alias("position", "ch")).where("ch in (',', 'e', '?')")
+    marks = symbols.select(*key, F.col("position").alias("mark"), "position", (F.lit(2) + F.col("position") % 3).alias("n_symbols"))
+    return map_words(sentences, words, marks, key)
+
+
 @R.query("""
 with c as (select c_custkey, c_mktsegment, round(c_acctbal, 0)::bigint as v from customer where c_custkey % 3 = 0),
 p as (select c_mktsegment as profile, count(*) as n, sum(v)::bigint as extra from c group by 1)

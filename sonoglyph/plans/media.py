@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoglyph.functions import audio as A
-from sonoglyph.functions.markup import folded_code_points, ssml_segments
+from sonoglyph.functions.markup import folded_code_points, ssml_rows, ssml_segments
 from sonoglyph.plans.registry import Registry, read
 from sonoglyph.sources.wav import build_wav, parse_wav
 
@@ -33,6 +33,24 @@ def ssml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", F.coalesce(F.size("s.segments"), F.lit(0)).cast("long").alias("n_segments"), F.col("s.error").isNotNull().alias("failed"))
 
 
+@R.query(r"""
+with t as (select conv_id, turn, role, regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '^\s+|\s+$', '', 'g') as t from conversations),
+p as (select conv_id, turn, unnest([
+    {'type': 'text', 'segment': case when turn % 3 = 0 then t || ' ' || t else t end, 'speaker': null, 'duration_ms': null},
+    {'type': 'break', 'segment': null, 'speaker': null, 'duration_ms': length(t)},
+    {'type': 'text', 'segment': t, 'speaker': role, 'duration_ms': null}]) as s, unnest([1, 2, 3]) as k from t where turn % 4 <> 3),
+k as (select conv_id, turn, s.type as type, s.segment as segment, s.speaker as speaker, s.duration_ms::int as duration_ms, k from p where s.type = 'break' or s.segment <> '')
+select conv_id, turn, (row_number() over (partition by conv_id, turn order by k) - 1)::int as seq, type, segment, speaker, duration_ms, false as failed from k
+union all select conv_id, turn, null, null, null, null, null, true from t where turn % 4 = 3""")
+def ssml_segments_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup made of turns as rows: on every third turn a text in two parts of no voice, a break as long as the text, and the text in the role's voice; every fourth turn is not closed."""
+    text = F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), r"^\s+|\s+$", "")
+    parts = F.when(F.col("turn") % 3 == 0, F.concat(text, F.lit("<voice>"), text, F.lit("</voice>"))).otherwise(text)
+    made = F.concat(F.lit("<speak>"), parts, F.lit('<break time="'), F.length(text).cast("string"), F.lit('"/><voice name="'), "role", F.lit('">'), text, F.lit("</voice>"), F.when(F.col("turn") % 4 == 3, "").otherwise("</speak>"))
+    rows = ssml_rows(read(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("m")), "m")
+    return rows.select("conv_id", "turn", "seq", "type", "segment", "speaker", "duration_ms", F.col("error").isNotNull().alias("failed"))
+
+
 @R.query()
 def nfd_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = read(spark, sf_dir, "documents").select("doc_id", folded_code_points("text").alias("p"))
