@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoglyph.functions import audio as A
+from sonoglyph.functions import audio as A, diacritics as D
 from sonoglyph.functions.markup import folded_code_points, ssml_rows, ssml_segments
 from sonoglyph.plans.registry import Registry, read
 from sonoglyph.sources.wav import build_wav, parse_wav
@@ -57,4 +57,26 @@ def nfd_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("doc_id", F.size("p").alias("n_points"), F.size(F.filter("p", lambda c: c.rlike(r"\p{M}"))).alias("n_marks"))
 
 
+_FORM = "case label " + " ".join(f"when {k} then '{v}'" for k, v in D.FORMS.items() if k not in D.NO_MARK) + " else '' end"
+
+
+@R.query(rf"""
+with t as (select conv_id, turn, regexp_replace(replace(replace(text, 'e', 'e{D.MARKS[2]}'), 'th', 'th{D.MARKS[5]}{D.MARKS[0]}'), '\s', ' ', 'g') as m from conversations),
+s as (select *, regexp_replace(m, '[{D.MARKS}]', '', 'g') as s from t),
+c as (select conv_id, turn, m, s, unnest(string_split(s, '')) as c, unnest(range(length(s))) as i from s where s <> ''),
+l as (select *, case when i < 315 then (ascii(c) + i) % 29 end as label, case when c >= 'a' and c <= 'z' and length(c) = 1 and ascii(c) < 123 then ascii(c) - 95 else 1 end as id from c),
+r as (select conv_id, turn, string_agg(c || {_FORM}, '' order by i) as restored, sum((i + 1) * id) filter (where i < 315) as ids, least(count(*), 315) as n from l group by all),
+k as (select conv_id, turn, sum(j * (j + 1)) as places from (select conv_id, turn, unnest(string_split(m, '')) as c, unnest(range(length(m))) as j from t where m <> '') where not regexp_matches(c, '[{D.MARKS}]') group by all)
+select s.conv_id, s.turn, s.s as stripped, md5(coalesce(restored, '')) as restored_md5, coalesce(ids, 0)::bigint as ids, coalesce(places, 0)::bigint as places from s left join r using (conv_id, turn) left join k using (conv_id, turn)""")
+def diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks stripped with their places, characters encoded for a model, and its labels, here made from the characters, inserted."""
+    marked = F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit("e"), F.lit("e" + D.MARKS[2])), F.lit("th"), F.lit("th" + D.MARKS[5] + D.MARKS[0])), r"\s", " ")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("m")).withColumn("s", D.without_marks(F.col("m")))
+    letters = F.create_map(*(F.lit(x) for c in range(97, 123) for x in (chr(c), c - 95)))
+    labels = F.transform(F.slice(D.characters(F.col("s")), 1, D.MOST), lambda c, i: (F.ascii(c) + i) % 29)
+    total = lambda x, f: F.aggregate(F.transform(x, f), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.select("conv_id", "turn", F.col("s").alias("stripped"), F.md5(D.with_marks(F.col("s"), labels)).alias("restored_md5"),
+                       total(D.encoded(F.col("s"), letters), lambda v, i: (v * (i + 1)).cast("long")).alias("ids"), total(D.kept_places(F.col("m")), lambda j: (j * (j + 1)).cast("long")).alias("places"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -48,3 +48,15 @@ def test_ssml():
     assert parse_ssml('<speak>a <b>b</b> c<break/>d<voice name="x">e<break time="1.5s"/></voice>f</speak>')[0] == [text("a b c"), pause(250), text("d"), text("e", "x"), pause(1500), text("f")]
     assert parse_ssml("<speak>")[1].startswith("bad markup") and parse_ssml("hi")[1] and parse_ssml(None)[1] and parse_ssml("<speaker/>")[1]
     assert parse_ssml('<speak><break time="soon"/></speak>')[1]
+
+
+def test_diacritics(spark):
+    from sonoglyph.functions import diacritics as D
+
+    df = spark.createDataFrame([("\u0628\u0650\u0633\u0652\u0645\u0651\u064e", [22, 20, 7]), ("abc", [1, 8, 99, 5]), ("ab", [5]), ("", [5]), ("ab", []), (None, [5])], "t string, labels array<int>")
+    s = D.without_marks(F.col("t"))
+    got = df.select(s.alias("s"), D.with_marks(s, F.col("labels")).alias("r"), D.kept_places(F.col("t")).alias("k"), D.encoded(s, F.create_map(F.lit("a"), F.lit(7)), 4).alias("e")).collect()
+    assert [r["s"] for r in got] == ["\u0628\u0633\u0645", "abc", "ab", "", "ab", None]
+    assert [r["r"] for r in got] == ["\u0628\u0650\u0633\u0652\u0645\u064e\u0651", "abc", "a\u064eb", "", "ab", None]
+    assert got[0]["k"] == [0, 2, 4] and got[1]["e"] == [7, 1, 1, 0] and got[3]["e"] == [0, 0, 0, 0]
+    assert len(df.limit(1).select(D.encoded(F.repeat(F.lit("a"), 400), F.create_map(F.lit("a"), F.lit(7)))).first()[0]) == 315
