@@ -69,3 +69,65 @@ def alignment(values: Column | str) -> Column:
         return pd.Series([monotonic_path(np.array([np.asarray(r) for r in v], np.float64)).tolist() if good(v) else None for v in rows])
 
     return F.pandas_udf(run, "array<bigint>")(values)
+
+
+def likelihoods(frames: np.ndarray, means: np.ndarray, log_scales: np.ndarray) -> np.ndarray:
+    """Log densities (..., tokens, frames) of frames under each token's normal distributions with independent entries, as four
+    products: no difference is made for a pair."""
+    inverse = np.exp(-2 * log_scales)
+    own = (-0.5 * np.log(2 * np.pi) - log_scales - 0.5 * means**2 * inverse).sum(-1)
+    turned = np.swapaxes(frames, -1, -2)
+    return -0.5 * inverse @ turned**2 + (means * inverse) @ turned + own[..., None]
+
+
+def monotonic_paths(value: np.ndarray, tokens: np.ndarray, frames: np.ndarray) -> np.ndarray:
+    """``monotonic_path`` of each matrix of (rows, tokens, frames), of which only so many tokens and frames count: the token of
+    each frame, -1 beyond the frames. All rows take a step of the programme together."""
+    rows, n, t = value.shape
+    value = np.where((np.arange(n) < tokens[:, None])[:, :, None], value, 0.0)
+    best, moved = np.full((rows, n), -np.inf), np.zeros((t, rows, n), bool)
+    best[:, 0] = value[:, 0, 0]
+    for j in range(1, t):
+        before = np.concatenate([np.full((rows, 1), -np.inf), best[:, :-1]], axis=1)
+        moved[j] = before > best  # a way that cannot be stayed on counts as -inf: it is left
+        best = value[:, :, j] + np.maximum(best, before)
+    path, i, row = np.full((rows, t), -1), tokens - 1, np.arange(rows)
+    for j in range(t - 1, -1, -1):
+        on = j < frames
+        path[on, j] = i[on]
+        i = i - (on & moved[j, row, i] if j else on & False)
+    return path
+
+
+#: Cells of the matrices that are worked on together, about.
+CELLS = 1 << 21
+
+
+def gaussian_alignment(frames: Column | str, means: Column | str, log_scales: Column | str) -> Column:
+    """(path, durations): the best monotonic path of the frames (rows of entries) through tokens with means and logarithms of
+    scales, and the frames of each token. Null for null, no tokens, or fewer frames than tokens. Texts of padded length are
+    cut to their own before (``slice``)."""
+
+    def stacked(values: list, n: int, d: int) -> np.ndarray:
+        out = np.zeros((len(values), n, d))
+        for k, v in enumerate(values):
+            out[k, : len(v)] = v
+        return out
+
+    def run(z: pd.Series, m: pd.Series, s: pd.Series) -> pd.DataFrame:
+        made: list[tuple] = [(None, None)] * len(z)
+        dense = [None if any(x is None for x in row) else [np.array([np.asarray(r, np.float64) for r in x]) for x in row] for row in zip(z, m, s, strict=True)]
+        good = sorted((k for k, x in enumerate(dense) if x is not None and 0 < len(x[1]) <= len(x[0]) and len(x[1]) == len(x[2])), key=lambda k: (dense[k][0].shape, len(dense[k][1])))
+        while good:
+            d = dense[good[-1]][0].shape[1]
+            part, cells = [], 0
+            while good and dense[good[-1]][0].shape[1] == d and (not part or cells < CELLS):
+                part.append(good.pop())
+                cells += len(dense[part[0]][0]) * max(len(dense[k][1]) for k in part[-1:])
+            t, n = np.array([len(dense[k][0]) for k in part]), np.array([len(dense[k][1]) for k in part])
+            value = likelihoods(stacked([dense[k][0] for k in part], t.max(), d), stacked([dense[k][1] for k in part], n.max(), d), stacked([dense[k][2] for k in part], n.max(), d))
+            for k, path, a, b in zip(part, monotonic_paths(value, n, t), t, n, strict=True):
+                made[k] = (path[:a].tolist(), np.bincount(path[:a], minlength=b).tolist())
+        return pd.DataFrame(made, columns=["path", "durations"])
+
+    return F.pandas_udf(run, "path array<bigint>, durations array<bigint>")(frames, means, log_scales)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonoglyph.dims import PHONEMES
@@ -400,4 +402,22 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", G.alignment(rows).alias("path"))
 
 
+@R.query("""
+with recursive e as (select vec_id, list_transform(embedding, lambda v: v::double * 8) as e, (2 + label % 5)::int as n, (7 + vec_id % 4)::int as t from embeddings),
+v as (select vec_id, n, t, i, j, list_sum(list_transform(range(1, 5), lambda d: -0.5 * ln(2 * pi()) - e[39 + 4 * i + d] / 16 - 0.5 * pow(e[4 * j + d] - e[40 + 4 * i + d], 2) * exp(-2 * e[39 + 4 * i + d] / 16))) as score
+  from e, (select unnest(range(6)) as i), (select unnest(range(10)) as j) where i < n and j < t),
+w(vec_id, n, t, i, j, score, path) as (select vec_id, n, t, i, j, score, [i] from v where i = 0 and j = 0
+  union all select v.vec_id, v.n, v.t, v.i, v.j, w.score + v.score, w.path || [v.i] from w join v on v.vec_id = w.vec_id and v.j = w.j + 1 and (v.i = w.i or v.i = w.i + 1))
+select vec_id, max_by(path, score) as path, list_transform(range(n), lambda k: len(list_filter(max_by(path, score), lambda p: p = k))::bigint) as durations, round(max(score), 4) as score from w where j = t - 1 and i = n - 1 group by vec_id, n""")
+def gaussian_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best monotonic paths of frames through tokens of normal distributions, of unequal numbers of both."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 8).alias("e"), (2 + F.col("label") % 5).cast("int").alias("n"), (7 + F.col("vec_id") % 4).cast("int").alias("t"))
+    rows = lambda first, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice("e", first + 4 * k, 4))
+    made = e.select("vec_id", "e", rows(1, F.col("t")).alias("z"), rows(41, F.col("n")).alias("m"), F.transform(rows(40, F.col("n")), lambda r: F.transform(r, lambda v: v / 16)).alias("s"))
+    made = made.select("vec_id", "z", "m", "s", G.gaussian_alignment("z", "m", "s").alias("a"))
+    density = lambda z, m, s: F.aggregate(F.arrays_zip(z.alias("z"), m.alias("m"), s.alias("s")), F.lit(0.0), lambda x, d: x - 0.5 * math.log(2 * math.pi) - d["s"] - 0.5 * (d["z"] - d["m"]) ** 2 * F.exp(-2 * d["s"]))
+    score = F.aggregate(F.transform(F.col("a.path"), lambda i, j: density(F.get("z", j), F.get("m", i.cast("int")), F.get("s", i.cast("int")))), F.lit(0.0), lambda x, d: x + d)
+    return made.select("vec_id", "a.path", "a.durations", F.round(score, 4).alias("score"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -56,3 +56,26 @@ def test_splice_and_offsets(spark):
     ids = {"a": [3], "b": [4, 5]}
     assert df.select(N.mapped_ids(F.expr("array('a', '?', 'b')"), ids)).first()[0] == [1, 0, 3, 0, 4, 5, 0, 2]
     assert df.select(N.mapped_ids(F.expr("array('b')"), ids, pad=[], begin=[9])).first()[0] == [9, 4, 5, 2]
+
+
+def test_gaussian_alignment_against_all_paths(spark):
+    from itertools import combinations
+
+    from sonoglyph.functions import signal as G
+
+    rng = np.random.default_rng(7)
+    rows = [(k, *(rng.normal(size=(size, 3)).tolist() for size in (t, n, n))) for k, (n, t) in enumerate([(1, 1), (1, 5), (3, 3), (2, 6), (4, 7), (5, 7), (3, 2), (0, 4)])] + [(8, None, [[0.0] * 3], [[0.0] * 3])]
+    kind = "array<array<double>>"
+    got = {r["k"]: r["a"] for r in spark.createDataFrame(rows, f"k int, z {kind}, m {kind}, s {kind}").select("k", G.gaussian_alignment("z", "m", "s").alias("a")).collect()}
+    for k, z, m, s in rows:
+        if z is None or not m or len(z) < len(m):
+            assert got[k] is None or got[k]["path"] is None
+            continue
+        z, m, s = map(np.array, (z, m, s))
+        score = np.array([[(-0.5 * np.log(2 * np.pi) - b - 0.5 * (x - a) ** 2 * np.exp(-2 * b)).sum() for x in z] for a, b in zip(m, s, strict=True)])
+        assert np.allclose(G.likelihoods(z, m, s), score)
+        paths = [np.searchsorted(cuts, np.arange(len(z)), "right") for cuts in combinations(range(1, len(z)), len(m) - 1)]
+        best = max(paths, key=lambda p: score[p, np.arange(len(z))].sum())
+        assert got[k]["path"] == best.tolist() == G.monotonic_path(score).tolist() and got[k]["durations"] == np.bincount(best, minlength=len(m)).tolist()
+    ties = np.zeros((2, 3, 5))
+    assert G.monotonic_paths(ties, np.array([3, 2]), np.array([5, 4])).tolist() == [G.monotonic_path(ties[0]).tolist(), [*G.monotonic_path(np.zeros((2, 4))).tolist(), -1]]
