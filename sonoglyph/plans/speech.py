@@ -25,14 +25,14 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"""
 with {_WORDS}, t as (select conv_id, turn, unnest(range(0, length(text), 4)) as s, length(text) as n from conversations)
-select w.conv_id, w.turn, w.start, count(*) as n_tokens, min(s // 4)::bigint as first_token from w join t on t.conv_id = w.conv_id and t.turn = w.turn and s < "end" and least(s + 4, n) > start where length(word) > 6 group by all""")
+select w.conv_id, w.turn, w.start, count(*) as n_tokens, min(s // 4)::bigint as first_token from w join t on t.conv_id = w.conv_id and t.turn = w.turn and s < "end" and least(s + 4, n) > start group by all""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of four characters that long words overlap."""
+    """Tokens of four characters that words overlap."""
     turns = read(spark, sf_dir, "conversations")
     tokens = turns.select("conv_id", "turn", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(4))).alias("token", "token_start"), F.length("text").alias("n"))
     tokens = tokens.withColumn("token_end", F.least(F.col("token_start") + 4, F.col("n"))).drop("n")
-    long = N.word_offsets(turns, ["conv_id", "turn"]).where("length(word) > 6")
-    return N.overlapping(long, tokens, ["conv_id", "turn"]).groupBy("conv_id", "turn", "start").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("token").cast("long").alias("first_token"))
+    words = N.word_offsets(turns, ["conv_id", "turn"])
+    return N.overlapping(words, tokens, ["conv_id", "turn"]).groupBy("conv_id", "turn", "start").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("token").cast("long").alias("first_token"))
 
 
 @R.query("""
@@ -278,12 +278,14 @@ def masked_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled dot products of each turn with the turns of its conversation, those after it masked; softmax; weighted sum."""
     parts = F.array(F.length("text") / 100.0, F.col("turn").cast("double"), F.lit(1.0), (F.length("text") % 7).cast("double"))
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", parts.alias("v")))).alias("t"))
-    rows = turns.select("conv_id", "t", F.explode("t").alias("q"))
-    score = F.transform("t", lambda k: F.when(k["turn"] <= F.col("q.turn"), F.aggregate(F.zip_with(F.col("q.v"), k["v"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / 2).otherwise(-1e4))
-    rows = rows.withColumn("s", score).withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    mean = lambda i: F.round(F.aggregate(F.zip_with("e", "t", lambda e, k: e * k["v"][i]), F.lit(0.0), lambda a, x: a + x) / total, 6)
-    return rows.select("conv_id", F.col("q.turn").alias("turn"), mean(0).alias("x"), mean(3).alias("y"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    # all rows of a conversation within its own row: nothing is copied for each of them
+    scores = lambda q: F.transform("t", lambda k: F.when(k["turn"] <= q["turn"], add(F.zip_with(q["v"], k["v"], lambda a, b: a * b)) / 2).otherwise(-1e4))
+    powers = lambda s: X.let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    mean = lambda e, i: F.round(add(F.zip_with(e, "t", lambda x, k: x * k["v"][i])) / add(e), 6)
+    row = lambda q: X.let(powers(scores(q)), lambda e: F.struct(q["turn"].alias("turn"), mean(e, 0).alias("x"), mean(e, 3).alias("y")))
+    rows = turns.select("conv_id", F.transform("t", row).alias("r"))
+    return rows.select("conv_id", F.explode("r").alias("r")).select("conv_id", "r.*")
 
 
 @R.query("select event_id, round(-ln(-ln(((event_id * 7919) % 1000) / 1000.0::double * 0.99998 + 0.00001)), 6) as g from events")

@@ -151,9 +151,10 @@ def hash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.left(F.sha2("url", 256), F.lit(16)).alias("cache_dir"), F.left(F.sha2("url", 256), F.lit(12)).alias("log_key"), F.sha1("html").alias("content_sha1"))
 
 
-@R.query("select doc_id, case when length(text) > 50 then substr(text, 1, 50) || '...' else text end as preview from documents")
+@R.query("select doc_id, case when length(text) > 50 then substr(text, 1, 50) || '...' else text end as preview, case when length(source) > 24 then substr(source, 1, 24) || '...' else source end as label, case when length(text) > 80 then substr(text, 1, 80) || '...' else text end as line from documents")
 def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
+    """Texts and labels cut to the lengths that messages, lists and lines of a log show."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"), X.preview(F.col("source"), 24).alias("label"), X.preview(F.col("text"), 80).alias("line"))
 
 
 @R.query("""
