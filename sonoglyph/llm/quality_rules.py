@@ -7,19 +7,18 @@ kept or not by one threshold, the score that a stated share of the trusted docum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonoglyph.llm import text as T
-from sonoglyph.llm.store import cut, table
+from sonoglyph.llm.store import cut, discard, table
 
 #: log2 of the number of buckets.
 BITS = 14
-#: Trusted documents at most; they are taken in the order of a hash of doc_id.
-TRUSTED_LIMIT = 50_000
 #: Share of the trusted documents that the threshold may turn away.
 REJECTED_TRUSTED = 0.005
 #: n-grams of score 0 that each document gets besides its own, so that a short one is not judged on two words.
@@ -52,17 +51,14 @@ def _buckets(s: T.Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc, doc[pairs]]), (np.concatenate([tokens.hash, grams]) >> shift).astype(np.int64)
 
 
-def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(bits: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        n = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            trusted = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), bool)
             for s in T.slices(batch.column("text")):
-                doc, bucket = _buckets(s, bits)
-                raw += np.bincount(bucket, minlength=1 << bits)
-                target += np.bincount(bucket[trusted[s.first + doc]], minlength=1 << bits)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+                n += np.bincount(_buckets(s, bits)[1], minlength=1 << bits)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", name])
 
     return run
 
@@ -132,33 +128,51 @@ def _score(weights, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 doc, bucket = _buckets(s, bits)
                 grams[rows] = np.bincount(doc, minlength=s.n_docs)
                 total[rows] = np.bincount(doc, ratio[bucket], minlength=s.n_docs)
-            out = [batch.column("doc_id"), batch.column("trusted"), *(pa.array(stats[k]) for k in _STATS), pa.array(grams), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "trusted", *_STATS, "n_grams", "log_ratio"])
+            out = [batch.column("doc_id"), *(pa.array(stats[k]) for k in _STATS), pa.array(grams), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", *_STATS, "n_grams", "log_ratio"])
 
     return run
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """doc_id of trusted documents (quality 1, toxic 0), ``limit`` of them at most, in the order of a hash."""
-    ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all trusted documents (quality 1, toxic 0)."""
+    return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+
+
+def _quantile(scores: DataFrame, part: float) -> float | None:
+    """The exact quantile of ``score``, linear between neighbours. Distinct scores are counted and sorted by range, so that no
+    task holds all of them; the driver gets a row for each range and the two neighbours."""
+    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut(counts.repartitionByRange("score").select("score", "c", F.spark_partition_id().alias("range")), "quality-scores")
+    sums = counts.groupBy("range").agg(F.sum("c").alias("c")).orderBy("range").collect()
+    total = sum(x["c"] for x in sums)
+    found, before, at = {}, 0, part * (total - 1)
+    for x in sums:
+        for k in {math.floor(at), math.ceil(at)}:
+            if before <= k < before + x["c"]:
+                upto = F.sum("c").over(Window.partitionBy("range").orderBy("score"))
+                found[k] = counts.where(F.col("range") == x["range"]).withColumn("upto", upto).where(F.col("upto") > k - before).agg(F.min("score")).first()[0]
+        before += x["c"]
+    discard(counts)
+    return found[math.floor(at)] + (at - math.floor(at)) * (found[math.ceil(at)] - found[math.floor(at)]) if total else None
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, trusted_limit: int = TRUSTED_LIMIT,
-                  rejected_trusted: float = REJECTED_TRUSTED, prior_grams: int = PRIOR_GRAMS, smoothing: float = SMOOTHING) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, rejected_trusted: float = REJECTED_TRUSTED,
+                  prior_grams: int = PRIOR_GRAMS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): base statistics, base_failed, score, threshold and kept.
 
-    Both multinomials are counted over whole texts, the raw one over every document; only ``2**bits`` sums reach the
+    Both multinomials are counted over whole texts, the raw one over every document, the target over every trusted one; only ``2**bits`` sums reach the
     driver, whatever the corpus. A null text counts as empty and fails the base rules; without a trusted document, or
     with no n-gram at all, scores and the threshold are 0, so that the base rules alone decide. Repeated rows each
     give a row; other columns are not read.
     """
     spark = docs.sparkSession
-    ids = F.broadcast(trusted_ids(labels, trusted_limit).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_t")))
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-    flagged = flagged.select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("trusted"))
-    sums = flagged.select("text", "trusted").mapInArrow(_count(bits), "bucket long, raw long, target long")
-    rows = sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    ids = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
+    texts = docs.select("doc_id", "text")
+    # texts go where their labels are once, to be counted; scores, which are small, go there later
+    trusted = texts.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+    sums = [t.select("text").mapInArrow(_count(bits, name), f"bucket long, {name} long").groupBy("bucket").agg(F.sum(name).alias(name)) for name, t in (("raw", texts), ("target", trusted))]
+    rows = sums[0].join(sums[1], "bucket", "left").fillna(0).toPandas()
     raw, target = np.full(1 << bits, smoothing), np.full(1 << bits, smoothing)
     raw[rows["bucket"]] += rows["raw"]
     target[rows["bucket"]] += rows["target"]
@@ -166,10 +180,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, trust
     if not len(rows) or not rows["target"].sum():
         ratio[:] = 0
     weights = spark.sparkContext.broadcast(ratio.tobytes())
-    schema = "doc_id long, trusted boolean, " + ", ".join(f"{k} long" for k in _STATS) + ", n_grams long, log_ratio double"
-    scored = cut(flagged.mapInArrow(_score(weights, bits), schema), "quality-rules")
+    schema = "doc_id long, " + ", ".join(f"{k} long" for k in _STATS) + ", n_grams long, log_ratio double"
+    scored = cut(texts.mapInArrow(_score(weights, bits), schema), "quality-rules")
     scored = scored.withColumn("score", F.col("log_ratio") / (F.col("n_grams") + prior_grams))
-    low = scored.where("trusted").agg(F.percentile("score", F.lit(rejected_trusted)).alias("q")).first()["q"]
+    low = _quantile(scored.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("score"), rejected_trusted)
     return scored.withColumn("threshold", F.lit(0.0 if low is None else low)).select(
         "doc_id", *_STATS,
         F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed"),
