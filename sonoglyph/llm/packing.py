@@ -27,8 +27,9 @@ from sonoglyph.llm.tokens import vocabulary, word_encoder
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces of one shard, islands of a shard, individuals of an island, epochs and offspring in each.
-SHARD, ISLANDS, POPULATION, EPOCHS, OFFSPRING = 4096, 2, 3, 2, 4
+#: Pieces of one shard, islands of a shard, individuals of an island, epochs and offspring in each; an island that has as few
+#: bins as the sum of the lengths allows needs no more of them.
+SHARD, ISLANDS, POPULATION, EPOCHS, OFFSPRING = 4096, 2, 8, 2, 40
 #: A bin with at most this share of its capacity free stays closed.
 WELL_FILLED = 1 / 512
 #: Rounds of opening badly filled bins again.
@@ -127,11 +128,11 @@ def evolve(length: list[int], elite: list[list[list[int]]], capacity: int, seed:
     """The best grouping an island finds in one epoch. ``elite``: groupings (lists of pieces) that it starts from."""
     rng, n = random.Random(seed), range(len(length))
     people = [[[capacity - sum(length[p] for p in ps), list(ps)] for ps in grouping] for grouping in elite]
-    while len(people) < population:
+    least = -(-sum(length) // capacity)
+    while len(people) < population and not any(len(x) <= least for x in people):
         # decreasing length, with some noise for all but the first
         noise = 0.0 if not people else 0.05
         people.append(best_fit(sorted(n, key=lambda p: -length[p] * (1 - noise * rng.random())), length, [], capacity))
-    least = -(-sum(length) // capacity)
     for _ in range(offspring):
         people.sort(key=lambda x: fitness(x, capacity), reverse=True)
         if len(people[0]) <= least:
