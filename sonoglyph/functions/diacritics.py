@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from sonoglyph.functions.text import let
+
 # Marks that are stripped; characters that a model takes; ids of padding and of unknown characters.
 MARKS = "ٌٍَُِّْ"
 MOST, PAD, UNKNOWN = 315, 0, 1
@@ -38,4 +40,5 @@ def encoded(text: Column, vocabulary: Column, most: int = MOST) -> Column:
 def with_marks(text: Column, labels: Column) -> Column:
     """The text with the marks of each character's label behind it; labels without a mark, and characters beyond the labels, add nothing."""
     forms = F.create_map(*(F.lit(x) for kv in FORMS.items() if kv[0] not in NO_MARK for x in kv))
-    return F.array_join(F.transform(characters(text), lambda c, i: F.concat(c, F.coalesce(F.element_at(forms, F.get(labels, i)), F.lit("")))), "")
+    # labels that are made from the text would else be made again for each of its characters
+    return let(labels, lambda made: F.array_join(F.transform(characters(text), lambda c, i: F.concat(c, F.coalesce(F.element_at(forms, F.get(made, i)), F.lit("")))), ""))

@@ -60,3 +60,18 @@ def test_diacritics(spark):
     assert [r["r"] for r in got] == ["\u0628\u0650\u0633\u0652\u0645\u064e\u0651", "abc", "a\u064eb", "", "ab", None]
     assert got[0]["k"] == [0, 2, 4] and got[1]["e"] == [7, 1, 1, 0] and got[3]["e"] == [0, 0, 0, 0]
     assert len(df.limit(1).select(D.encoded(F.repeat(F.lit("a"), 400), F.create_map(F.lit("a"), F.lit(7)))).first()[0]) == 315
+
+
+def test_labels_are_made_once(spark):
+    import time
+
+    from sonoglyph.functions import diacritics as D
+
+    df = spark.createDataFrame([("ab" * 4000,)] * 8, "t string").repartition(1)
+    labels = F.transform(D.characters(F.col("t")), lambda c, i: (F.ascii(c) + i) % 29)  # of the text, as a model's are
+    began = time.time()
+    got = {r[0] for r in df.select(D.with_marks(F.col("t"), labels)).collect()}
+    took = time.time() - began
+    forms = {k: v for k, v in D.FORMS.items() if k not in D.NO_MARK}
+    assert got == {"".join(c + forms.get((ord(c) + i) % 29, "") for i, c in enumerate("ab" * 4000))}
+    assert took < 20  # over a minute when each character makes all labels again
