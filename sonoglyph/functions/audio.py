@@ -15,6 +15,15 @@ def to_int16(samples: Column) -> Column:
     return F.transform(samples, lambda x: F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), x * scale)).cast("smallint"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double to so many digits after the point, halves away from zero. Unlike ``F.round`` it keeps the sign of what becomes
+    zero (-0.0), as SQL engines that round binary numbers do; numbers too large to scale stay."""
+    scaled = value * float(10**digits)
+    whole = F.rint(scaled)
+    away = F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole)
+    return F.when(F.abs(scaled) < float("inf"), away / float(10**digits)).otherwise(value)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonoglyph.dims import PHONEMES
-from sonoglyph.functions import signal as G, text as X
+from sonoglyph.functions import audio as A, signal as G, text as X
 from sonoglyph.operators import phoneme as P, route as O, spans as N
 from sonoglyph.plans.registry import Registry, read, sql_rows
 from sonoglyph.sources.wav import build_wav
@@ -78,7 +78,7 @@ def many_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("select vec_id, [0.0::double] || flatten(list_transform(embedding, lambda x: [round(x::double, 6), 0.0])) as padded from embeddings")
 def interspersed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    values = F.transform("embedding", lambda x: A.rounded(x.cast("double"), 6))
     return read(spark, sf_dir, "embeddings").select("vec_id", P.intersperse(values, F.lit(0.0)).alias("padded"))
 
 
