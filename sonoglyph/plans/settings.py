@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sonoglyph.functions import text as X
+from sonoglyph.functions import audio as A, text as X
 from sonoglyph.operators.sampling import let
 from sonoglyph.operators.runtime import asked_mode
 from sonoglyph.plans.registry import Registry, read, sql_rows
@@ -114,7 +114,7 @@ def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     centred = vectors.select("vec_id", let(mean(F.col("v")), lambda m: F.transform("v", lambda x: x - m)).alias("v"))
-    normed = let(F.sqrt(mean(F.transform("v", lambda x: x * x)) + 1e-5), lambda s: F.transform("v", lambda x: F.round(x / s * 1.1 + 0.1, 6)))
+    normed = let(F.sqrt(mean(F.transform("v", lambda x: x * x)) + 1e-5), lambda s: F.transform(F.transform("v", lambda x: x / s * 1.1 + 0.1), lambda x: A.rounded(x, 6)))
     return centred.select("vec_id", normed.alias("normed"))
 
 

@@ -3,7 +3,6 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
-import pytest
 
 import __spark_entry__ as entry
 
@@ -31,3 +30,9 @@ def vectors(*values: list[float]) -> pa.Table:
 def test_interspersed_keeps_the_sign_of_zero(spark, tmp_path):
     got = same(spark, tmp_path, "interspersed", "embeddings", vectors(TINY, [-1e-8, 1e-8], []))
     assert any("-0.0" in r for r in got)
+
+
+def test_layer_norm_keeps_the_sign_of_zero(spark, tmp_path):
+    # the first value becomes -2.0e-07
+    got = same(spark, tmp_path, "layer_norm", "embeddings", vectors([-0.111572265625, 1.0, -1.0], [0.5, 0.5], [1.0, 2.0, -4.0]))
+    assert any("-0.0" in r for r in got)
