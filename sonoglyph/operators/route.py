@@ -49,6 +49,24 @@ def sync_actions(local: DataFrame, remote: DataFrame) -> DataFrame:
     return joined.select("path", F.when(F.col("r").isNull(), "upload").when(F.col("l").isNull(), "download").when(F.col("l") == F.col("r"), "skip").otherwise("replace").alias("action"))
 
 
+def count_actions(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(action, n): how often each of ``sync_actions`` comes up, without its pairs, of which a path that both manifests repeat has
+    as many as the product of its rows. A null path meets none, a null size counts as lacking."""
+    both = local.selectExpr("path", "size", "1L as l", "0L as r").union(remote.selectExpr("path", "size", "0L as l", "1L as r"))
+    sizes = both.groupBy("path", "size").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    known = F.col("size").isNotNull()
+    paths = sizes.groupBy("path").agg(
+        F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(F.when(known, F.col("l")).otherwise(0)).alias("ls"),
+        F.sum(F.when(known, F.col("r")).otherwise(0)).alias("rs"), F.sum(F.when(known, F.col("l") * F.col("r")).otherwise(0)).alias("same"))
+    n = {
+        True: {"upload": "l * (r - rs)", "download": "(l - ls) * rs", "skip": "same", "replace": "ls * rs - same"},
+        False: {"upload": "l + r - rs", "download": "rs", "skip": "0L", "replace": "0L"},
+    }
+    counts = F.array(*(F.struct(F.lit(a).alias("action"), F.expr(f"if(path is not null and l > 0 and r > 0, {n[True][a]}, {n[False][a]})").alias("n")) for a in n[True]))
+    found = paths.select(F.inline(counts)).where("n > 0")
+    return found.groupBy("action").agg(F.sum("n").alias("n"))
+
+
 def lru_resident(accesses: DataFrame, cache: list[str], key: str, at: str, capacity: int) -> DataFrame:
     """What a least-recently-used cache of a capacity holds after all accesses: its last distinct keys, most recent first."""
     last = accesses.groupBy(*cache, key).agg(F.max(at).alias("last"))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from sonoglyph.operators import route as O
 
 
 def same(spark, tmp_path, query: str, table: str, rows: pa.Table) -> list[str]:
@@ -42,3 +43,18 @@ def test_empty_texts_are_an_empty_symbol(spark, tmp_path):
     texts = ["", "", None, "a", "a\u0301\U0001f469\u200d\U0001f467", " "]
     got = same(spark, tmp_path, "missing_phonemes", "documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
     assert "('', 2)" in got
+
+
+def test_repeated_paths_meet_all_their_copies(spark, tmp_path):
+    html = ["a", "bb", "bb", "ccc", None, "bb", "a", None, "", "dddd"]
+    rows = [(i, [f"u{i % 11}", "u1", None, "u2"][i % 4], html[i % 10]) for i in range(400)]
+    table = pa.table({"page_id": pa.array([r[0] for r in rows], pa.int64()), "url": pa.array([r[1] for r in rows]), "html": pa.array([r[2] for r in rows])})
+    assert len(same(spark, tmp_path, "sync_diff", "pages", table)) == 4
+
+
+def test_counts_of_actions_are_those_of_pairs(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 2), ("x", None), ("y", 1), (None, 3), ("z", None)], "path string, size long")
+    b = spark.createDataFrame([("x", 2), ("x", 2), ("x", None), (None, 3), (None, None), ("w", 1), ("v", None)], "path string, size long")
+    want = sorted(map(tuple, O.sync_actions(a, b).groupBy("action").count().collect()))
+    assert sorted(map(tuple, O.count_actions(a, b).collect())) == want
+    assert O.count_actions(a.limit(0), b.limit(0)).count() == 0
