@@ -166,8 +166,8 @@ def kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""select vec_id, list_transform(range(1, 33), lambda i: round(tanh(embedding[i]::double) / (1 + exp(-embedding[i + 32]::double)), 6)) as gated from embeddings""")
 def tanh_sigmoid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = F.zip_with(F.slice("w", 1, 32), F.slice("w", 33, 32), lambda a, b: F.round(F.tanh(a) / (1 + F.exp(-b)), 6))
-    return _waves(spark, sf_dir).select("vec_id", gated.alias("gated"))
+    gated = F.zip_with(F.slice("w", 1, 32), F.slice("w", 33, 32), lambda a, b: F.tanh(a) / (1 + F.exp(-b)))
+    return _waves(spark, sf_dir).select("vec_id", F.transform(gated, lambda x: A.rounded(x, 6)).alias("gated"))
 
 
 @R.query("""

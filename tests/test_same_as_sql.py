@@ -58,3 +58,8 @@ def test_counts_of_actions_are_those_of_pairs(spark):
     want = sorted(map(tuple, O.sync_actions(a, b).groupBy("action").count().collect()))
     assert sorted(map(tuple, O.count_actions(a, b).collect())) == want
     assert O.count_actions(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_gate_keeps_the_sign_of_zero(spark, tmp_path):
+    got = same(spark, tmp_path, "tanh_sigmoid_gate", "embeddings", vectors(TINY * 4, [x / 2 for x in TINY[::-1]] * 4))
+    assert any("-0.0" in r for r in got)
