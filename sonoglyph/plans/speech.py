@@ -137,7 +137,8 @@ with s as (select vec_id, list_transform(range(1, 33), lambda i: round((embeddin
 select vec_id, m || list_transform(range(12), lambda i: 0.0::double) as samples from s""")
 def reference_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two channels as one by their mean, with half a second of silence (here at 24 samples a second) after it."""
-    mono = F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: F.round((a.cast("double") + b.cast("double")) / 2, 6))
+    mono = F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: (a.cast("double") + b.cast("double")) / 2)
+    mono = F.transform(mono, lambda x: A.rounded(x, 6))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.concat(mono, F.array_repeat(F.lit(0.0), int(0.5 * 24))).alias("samples"))
 
 

@@ -63,3 +63,8 @@ def test_counts_of_actions_are_those_of_pairs(spark):
 def test_gate_keeps_the_sign_of_zero(spark, tmp_path):
     got = same(spark, tmp_path, "tanh_sigmoid_gate", "embeddings", vectors(TINY * 4, [x / 2 for x in TINY[::-1]] * 4))
     assert any("-0.0" in r for r in got)
+
+
+def test_reference_audio_keeps_the_sign_of_zero(spark, tmp_path):
+    got = same(spark, tmp_path, "reference_audio", "embeddings", vectors([-1e-7] * 64, [x for x in TINY if abs(x) < 9] * 4 + [0.5] * 12))
+    assert any("-0.0" in r for r in got)
