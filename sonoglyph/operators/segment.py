@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sonoglyph.dims import SCRIPTS
@@ -57,6 +59,35 @@ def merge_languages(df: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumnRenamed("island", "seq")
 
 
+def _class(scripts: list[str], without: bool = False) -> str:
+    """A character class of scripts, or of all but them; ASCII is told by its number, which spares most characters the scripts."""
+    named, latin = "".join(rf"\p{{Is{s}}}" for s in scripts), "Latin" in scripts
+    if not without:
+        return f"[{'A-Za-z' * latin}{named}]"
+    return rf"[{r'\x00-\x40\x5b-\x60\x7b-\x7f' if latin else r'\x00-\x7f'}[^{named}]]"
+
+
+def merged_scripts(df: DataFrame, key: list[str], languages: dict[str, str], text: str = "text", shown: Callable[[Column], Column] = lambda t: t) -> DataFrame:
+    """``merge_languages`` of ``script_runs`` where a run's script alone names its language and all others are undetermined:
+    (key, seq, language, text, start, end, script), with ``shown`` of each span's text.
+
+    A span begins with a character that names its language and ends before one that names another; what precedes the first
+    one is the first span's. So spans are found as stretches of the text: no run becomes a row, and texts are not shuffled.
+    """
+    named = list(languages)
+    tails = (_class([s]) + (_class(others, True) if (others := [o for o in named if languages[o] != languages[s]]) else "(?s:.)") + "*+" for s in named)
+    head = rf"\A{_class(named, True)}++"
+    spans = F.regexp_extract_all(text, F.lit(rf"{head}\z|(?:{head})?+(?:{'|'.join(tails)})"), F.lit(0))
+    found = df.select(*key, F.monotonically_increasing_id().alias("_row"), spans.alias("_spans"))
+    rows = found.select(*key, "_row", F.posexplode("_spans").alias("seq", "_span"))
+    first = F.regexp_extract("_span", _class(named), 0)
+    script = F.when(first != "", script_of(first)).otherwise(script_of(F.regexp_extract("_span", r"\P{IsCommon}|\z", 0)))
+    rows = rows.select(*key, "_row", (F.col("seq") + 1).cast("long").alias("seq"), shown(F.col("_span")).alias("text"), F.length("_span").alias("_n"), script.alias("script"))
+    end = F.sum("_n").over(Window.partitionBy("_row").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    language = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in languages.items() for x in kv)), F.col("script")), F.lit("und"))
+    return rows.withColumn("end", end).select(*key, "seq", language.alias("language"), "text", (F.col("end") - F.col("_n")).alias("start"), "end", "script")
+
+
 def merge_speakers(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """Adjacent texts of one speaker (null is one) joined by a space; a break (null text) parts them and stays."""
     part = F.when(F.col("text").isNull(), F.concat(F.lit("break"), F.col(order).cast("string"))).otherwise(F.concat(F.lit("said"), F.coalesce("speaker", F.lit("\0"))))

@@ -59,6 +59,27 @@ def test_merge_is_the_fold(spark):
     assert got == {k: fold(spans) for k, spans in enumerate(texts)}
 
 
+def test_script_spans_are_the_merged_runs(spark):
+    import contextlib
+    import io
+
+    from sonoglyph.plans import segments as Q
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", "C", " ", ", ", "мир", "漢字", "か", "カ", "\u0301", "é", "γ", "\U0001f600", "\n", "\ue000", "1"]) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    texts += ["", "  ", "\u0301", "\ue000 γ", "a\u0301 b" * 20_000]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, text string")
+    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in Q._NAMED.items() for x in kv)), F.col("script")), F.lit("und"))
+    columns = ["k", "seq", "language", "text", "start", "end", "script"]
+    want = S.merge_languages(S.script_runs(df, ["k"]).withColumn("language", label), ["k"]).select(columns)
+    got = S.merged_scripts(df, ["k"], Q._NAMED)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        Q.merge_lang_islands(spark, "/root/testdata/sf0.001").explain()
+    assert "collect_list" not in plan.getvalue()  # what held all runs of a span, and all texts in the shuffle
+
+
 def test_text(spark):
     assert one(spark, X.normalize_punctuation, "你好。再见！……（a）") == "你好. 再见! ......(a)"
     assert [one(spark, X.normalize_locale, x) for x in ("en-us", "EN", "zh-hant-tw")] == ["en-US", "en", "zh"]
