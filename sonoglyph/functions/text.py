@@ -111,7 +111,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def outside_latin(text: Column) -> Column:
     """What a text has but Latin letters and characters of no script of their own: empty for most texts."""
-    return F.regexp_replace(text, r"[\p{IsLatin}\p{IsCommon}\p{IsInherited}\p{IsUnknown}]+", "")
+    # ASCII is Latin or common; told by its number, it is not looked up
+    return F.regexp_replace(text, r"[\x00-\x7f\p{IsLatin}\p{IsCommon}\p{IsInherited}\p{IsUnknown}]+", "")
 
 
 def is_latin_only(text: Column) -> Column:

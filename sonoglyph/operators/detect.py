@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from sonoglyph.dims import BANNED_LATIN, COMMON_LATIN, CONFUSABLE, DEFAULT_THRESHOLD, MARKERS, SCRIPT_LANGUAGES, SCRIPT_THRESHOLDS, SCRIPTS
 from sonoglyph.functions.text import SCRIPT_LADDER, has_han_without_kana, language_by_script, let, outside_latin
-from sonoglyph.operators.segment import RUNS, script_of
+from sonoglyph.operators.segment import script_of
 
 #: What a detector says of a text: its label, how sure it is of it and of the main language, and whether it is reliable.
 Detector = Callable[[Column, Column], Column]
@@ -118,51 +119,183 @@ def _pieces(run: Column, script: Column, main: Column, detect: Detector, tokeniz
     return let(F.aggregate(tokenize(run, main), F.struct(F.lit(1).alias("at"), none.alias("pieces")), add), settled)
 
 
-def _spans(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """Spans of the parts (n, language, script) of texts: the bounds of each text's spans, and starts, ends, scripts and languages. A
-    span's script is that of its first determined part, without one the first that is not Common."""
-    offsets = parts.offsets.to_numpy().astype(np.int64)
-    values = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
-    offsets -= offsets[0]
-    size, counts = len(values), np.diff(offsets)
-    n = values.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-    language = values.field("language").dictionary_encode()
-    known = np.asarray(pc.not_equal(values.field("language"), "und"))
-    named = np.asarray(pc.not_equal(values.field("script"), "Common"))
+#: Characters that are parted into runs at once, and runs with their main language that are told apart before counting starts anew.
+_AT_ONCE, _MOST = 1 << 19, 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _script_table(spark: SparkSession) -> tuple[list[int], list[str]]:
+    """Where stretches of code points of one script begin, and their scripts, as ``script_of`` names them."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    named = ["Common", "Inherited", *SCRIPTS]
+    stretches = "|".join(rf"\p{{Is{x}}}+" for x in named) + f"|[^{''.join(rf'\p{{Is{x}}}' for x in named)}]+"
+    runs = F.regexp_extract_all(F.lit(bytearray("".join(map(chr, points)).encode())).cast("string"), F.lit(stretches), F.lit(0))
+    found = spark.range(1).select(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), script_of(r).alias("script"))).alias("r")).first()[0]
+    at = np.cumsum([0, *(r["n"] for r in found)])[:-1]
+    return [points[i] for i in at], [r["script"] for r in found]
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of rows whose sizes come to ``most`` together, of one row at least."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _lists(parts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in units of ``width`` bytes, and the bytes, of a binary or string array without nulls."""
+    offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return (offsets - offsets[0]) // width, data
+
+
+def _coded_runs(key: list[str], starts: list[int], scripts: list[str]):
+    """Per text its runs of one script: for each the number of its entry (run, script, main); for one of n common characters -2 n, of n
+    inherited ones -2 n - 1. A row's ``_new`` are the entries that no row before it had, numbered on;
+    no row from here on has one below ``_base``."""
+    names = sorted(set(scripts))
+    common, inherited, unknown = (names.index(x) if x in names else -1 for x in ("Common", "Inherited", "Unknown"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.repeat(np.array([names.index(x) for x in scripts], np.int8), np.diff([*starts, 0x110000]))
+        numbers: dict[tuple[str | None, str], int] = {}
+        base = top = 0
+        for b in batches:
+            text, main = pc.fill_null(b.column("_text"), ""), b.column("_main")
+            for lo, hi in _slices(np.asarray(pc.binary_length(text)), _AT_ONCE):
+                if len(numbers) > _MOST:
+                    numbers, base = {}, top
+                bounds, data = _lists(text.slice(lo, hi - lo), 1)
+                points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+                kinds = table[points]
+                places = np.append(0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800).astype(np.int8) + (points >= 0x10000)))  # in bytes
+                rows = np.searchsorted(places, bounds)  # where texts begin, in characters
+                first = np.append(True, kinds[1:] != kinds[:-1]) if len(kinds) else np.zeros(0, bool)
+                first |= kinds == unknown
+                first[rows[:-1][rows[:-1] < len(kinds)]] = True
+                heads = np.flatnonzero(first)
+                lens = np.diff(np.append(heads, len(kinds))).astype(np.int32)
+                kind = kinds[heads]
+                row_heads = np.searchsorted(heads, rows)
+                codes = np.where(kind == common, -2 * lens, np.where(kind == inherited, -2 * lens - 1, 0)).astype(np.int32)
+                told = np.flatnonzero(codes == 0)
+                new: list[dict] = []
+                if len(told):
+                    # spoken runs by their bytes; those between them are values too, which are not looked at
+                    cuts = places[np.append(heads, len(kinds))].astype(np.int32)
+                    strings = pa.StringArray.from_buffers(len(heads), pa.py_buffer(cuts), pa.py_buffer(data.tobytes()))
+                    known = strings.take(pa.array(told)).dictionary_encode()
+                    words, mains = known.dictionary, main.slice(lo, hi - lo).dictionary_encode(null_encoding="encode")
+                    row = np.searchsorted(row_heads, told, "right") - 1
+                    pair = np.asarray(mains.indices, np.int64)[row] * len(words) + np.asarray(known.indices, np.int64)
+                    if len(mains.dictionary) * len(words) <= 8 * _AT_ONCE:
+                        seen = np.zeros(len(mains.dictionary) * len(words), np.int32)
+                        seen[pair] = 1
+                        pairs = np.flatnonzero(seen)
+                        seen[pairs] = np.arange(len(pairs))
+                        at = seen[pair]
+                    else:
+                        pairs, at = np.unique(pair, return_inverse=True)
+                    kind_of = np.zeros(len(words), np.int8)
+                    kind_of[np.asarray(known.indices)] = kind[told]
+                    own, said = words.to_pylist(), mains.dictionary.to_pylist()
+                    number = np.empty(len(pairs), np.int32)
+                    for i, p in enumerate(pairs.tolist()):
+                        m, w = divmod(p, len(own))
+                        n = numbers.get((said[m], own[w]))
+                        if n is None:
+                            n = numbers[said[m], own[w]] = top
+                            top += 1
+                            new.append({"run": own[w], "script": names[kind_of[w]], "main": said[m]})
+                        number[i] = n
+                    codes[told] = number[at]
+                blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((row_heads * 4).astype(np.int32)), pa.py_buffer(codes.tobytes())])
+                entries = pa.array([new] + [[]] * (hi - lo - 1), _ENTRIES)
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in key), text.slice(lo, hi - lo), blob, pa.array(np.full(hi - lo, base), pa.int32()), entries],
+                                                 [*key, "_text", "_codes", "_base", "_new"])
+
+    return run
+
+
+_ENTRIES = pa.list_(pa.struct([("run", pa.string()), ("script", pa.string()), ("main", pa.string())]))
+
+
+def _spans(offsets: np.ndarray, n: np.ndarray, language: np.ndarray, script: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the parts of texts, whose languages and scripts are numbers (0: undetermined, common): the bounds of each text's spans,
+    and starts, ends, scripts and languages. A span's script is that of its first determined part, without one the first that is
+    not Common."""
+    size, counts = len(n), np.diff(offsets)
+    known, named = language != 0, script != 0
     begin = np.repeat(offsets[:-1], counts)
     at = np.arange(size)
     before = np.maximum.accumulate(np.where(known, at, -1)) if size else at
     after = np.minimum.accumulate(np.where(known, at, size)[::-1])[::-1] if size else at
     # the part whose language each one has: the last determined one, at the text's beginning the first; -1 without any
     own = np.where(before >= begin, before, np.where(after < np.repeat(offsets[1:], counts), after, -1))
-    codes = np.append(np.asarray(language.indices, np.int64), -1)
-    filled = codes[own]
+    filled = np.append(language, 0)[own]
     first = (at == begin) | np.append(True, filled[1:] != filled[:-1])[:size]
     heads = np.flatnonzero(first)
-    ends = np.cumsum(n)
-    base = np.repeat((np.append(0, ends)[offsets[:-1]]), counts)
-    start = (ends - n - base)[heads]
+    ends = np.cumsum(n, dtype=np.int64)
+    base = np.append(0, ends)[begin[heads]]
+    start = (ends - n)[heads] - base
     tail = np.append(heads[1:], size)[: len(heads)] - 1
-    end = (ends - base)[tail]
     lead = own[heads]
     next_named = np.minimum.accumulate(np.where(named, at, size)[::-1])[::-1][heads] if size else heads
     speaks = np.where(lead >= 0, lead, np.where(next_named <= tail, next_named, heads))
-    languages = pc.fill_null(language.dictionary.take(pa.array(filled[heads], mask=lead < 0)), "und")
-    return np.append(0, np.cumsum(first))[offsets], start, end, values.field("script").take(pa.array(speaks)), languages
+    return np.append(0, np.cumsum(first))[offsets], start, ends[tail] - base, script[speaks], filled[heads]
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of ``_coded_runs`` after ``_new`` has got each entry's parts."""
+    languages, scripts = {"und": 0, None: 0}, {"Common": 0, "Inherited": 1}
+    base = 0
+    begin, count, kind = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)  # of entries from base on
+    part_n, part_language = np.zeros(0, np.int32), np.zeros(0, np.int32)
     for b in batches:
-        parts = b.column("_parts")
-        bounds, start, end, script, language = _spans(parts if not parts.null_count else pc.fill_null(parts, pa.scalar([], parts.type)))
-        counts = np.diff(bounds)
-        row = np.repeat(np.arange(len(counts)), counts)
-        texts = b.column("_text").to_pylist()
-        text = [texts[r][x:y] for r, x, y in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
-        keys = b.drop_columns(["_text", "_parts"]).take(pa.array(row))
-        seq = np.arange(len(row)) - bounds[:-1][row] + 1 if len(row) else row
-        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(seq, pa.int64()), pa.array(text, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), script, language],
-                                         [*keys.schema.names, "seq", "text", "start", "end", "script", "language"])
+        new = b.column("_new").flatten()
+        if len(new):
+            parts, own = new.field("parts"), new.field("script").dictionary_encode()
+            values, sizes = parts.flatten(), np.asarray(pc.list_value_length(parts), np.int32)
+            said = values.field("language").dictionary_encode(null_encoding="encode")
+            code = lambda table, names: np.array([table.setdefault(x, len(set(table.values()))) for x in names.to_pylist()], np.int32)
+            begin = np.append(begin, len(part_n) + np.cumsum(sizes, dtype=np.int64) - sizes)
+            count, kind = np.append(count, sizes), np.append(kind, code(scripts, own.dictionary)[np.asarray(own.indices)])
+            part_n = np.append(part_n, np.asarray(values.field("n"), np.int32))
+            part_language = np.append(part_language, code(languages, said.dictionary)[np.asarray(said.indices)])
+        names = [[k for k, v in table.items() if v == i][0] for table in (languages, scripts) for i in range(len(set(table.values())))]
+        parted = len(set(languages.values()))
+        language_names, script_names = pa.array(names[:parted], pa.string()), pa.array(names[parted:], pa.string())
+        for lo, hi in _slices(np.asarray(pc.binary_length(b.column("_codes"))) // 4, _AT_ONCE // 4):
+            part = b.slice(lo, hi - lo)
+            bounds, codes = _lists(part.column("_codes"), 4)
+            codes = codes.view(np.int32)
+            blank = codes < 0
+            entry = np.where(blank, 0, codes - base)
+            counts = np.ones(len(codes), np.int32)
+            counts[~blank] = count[entry[~blank]]
+            ends = np.cumsum(counts, dtype=np.int64)
+            from_ = np.repeat(np.arange(len(codes)), counts)
+            spoken = ~blank[from_]
+            n, language = -codes[from_] // 2, np.zeros(len(from_), np.int32)
+            source = (np.arange(len(from_)) - np.repeat(ends - counts, counts))[spoken] + begin[entry[from_[spoken]]]
+            n[spoken], language[spoken] = part_n[source], part_language[source]
+            script = -codes[from_] & 1
+            script[spoken] = kind[entry[from_[spoken]]]
+            bounds, start, end, script, language = _spans(np.append(0, ends)[bounds], n, language, script)
+            row = np.repeat(np.arange(hi - lo), np.diff(bounds))
+            texts = part.column("_text").to_pylist()
+            text = [texts[r][x:y] for r, x, y in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
+            keys = part.drop_columns(["_text", "_codes", "_base", "_new"]).take(pa.array(row))
+            seq = np.arange(len(row)) - bounds[:-1][row] + 1 if len(row) else row
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(seq, pa.int64()), pa.array(text, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                                              script_names.take(pa.array(script)), language_names.take(pa.array(language))], [*keys.schema.names, "seq", "text", "start", "end", "script", "language"])
+        if b.num_rows and (gone := b.column("_base")[-1].as_py() - base):
+            cut = int(begin[gone]) if gone < len(begin) else len(part_n)
+            base, begin, count, kind = base + gone, begin[gone:] - cut, count[gone:], kind[gone:]
+            part_n, part_language = part_n[cut:], part_language[cut:]
 
 
 def split_languages(texts: DataFrame, key: list[str], detect: Detector, main: str = "main", text: str = "text", tokenize: Tokenizer | None = None) -> DataFrame:
@@ -172,24 +305,27 @@ def split_languages(texts: DataFrame, key: list[str], detect: Detector, main: st
     have is what the detector says, if reliably, else what its script says; any other is parted into tokens, each judged
     with a bias for the main language (without ``tokenize`` the run is one token). Adjacent parts of one language are one
     span; undetermined ones join the part before them, at the text's beginning the first determined one. Null and empty
-    texts have no span.
+    texts have no span. ``detect`` and ``tokenize`` depend on nothing but their arguments.
 
-    All of it happens within the text's row, without a shuffle: parts are merged batch by batch, only spans become rows.
+    All of it happens without a shuffle, and in order: a run is judged with its main language where a task meets the two first,
+    in that row; the rows after it refer to it by a number. Only spans become rows.
     """
-    run, script, main_ = (lambda r: r["run"]), (lambda r: r["script"]), F.col("_main")
     by_script = _table(dict(SCRIPT_LADDER) | {"Han": "zh"})
 
-    def parts(r: Column) -> Column:
-        whole = lambda language: F.array(F.struct(F.length(run(r)).alias("n"), language.alias("language")))
-        foreign = lambda said: F.when(F.coalesce(said["reliable"], F.lit(False)), said["language"]).otherwise(F.coalesce(F.element_at(by_script, script(r)), F.lit("und")))
-        blank = script(r).isin("Common", "Inherited") | (F.trim(run(r)) == "")
-        pieces = (
-            F.when(blank, whole(F.lit("und"))).when(script_valid(script(r), main_), _pieces(run(r), script(r), main_, detect, tokenize))
-            .when(script(r) == "Han", whole(F.lit("zh"))).otherwise(whole(let(detect(run(r), main_), foreign))))
-        return F.transform(pieces, lambda p: F.struct(p["n"].alias("n"), p["language"].alias("language"), script(r).alias("script")))
-
-    runs = F.transform(F.regexp_extract_all("_text", F.lit(RUNS), F.lit(0)), lambda r: F.struct(r.alias("run"), script_of(r).alias("script")))
-    rows = texts.select(*key, F.col(main).alias("_main"), F.col(text).alias("_text")).select(*key, "_text", F.flatten(F.transform(runs, parts)).alias("_parts"))
-    schema = StructType([*texts.select(*key).schema, StructField("seq", LongType()), StructField("text", StringType()), StructField("start", IntegerType()),
+    def parts(run: Column, script: Column, main_: Column) -> Column:
+        whole = lambda language: F.array(F.struct(F.length(run).alias("n"), language.alias("language")))
+        foreign = lambda said: F.when(F.coalesce(said["reliable"], F.lit(False)), said["language"]).otherwise(F.coalesce(F.element_at(by_script, script), F.lit("und")))
+        return (
+            F.when(script_valid(script, main_), _pieces(run, script, main_, detect, tokenize))
+            .when(script == "Han", whole(F.lit("zh"))).otherwise(whole(let(detect(run, main_), foreign))))
+
+    rows = texts.select(*key, F.col(main).alias("_main"), F.col(text).alias("_text"))
+    keys = [*texts.select(*key).schema]
+    entries = ArrayType(StructType([StructField(x, StringType()) for x in ("run", "script", "main")]))
+    coded = StructType([*keys, StructField("_text", StringType()), StructField("_codes", BinaryType()),
+                        StructField("_base", IntegerType()), StructField("_new", entries)])
+    judged = F.transform("_new", lambda e: F.struct(e["script"].alias("script"), parts(e["run"], e["script"], e["main"]).alias("parts")))
+    rows = rows.mapInArrow(_coded_runs(key, *_script_table(texts.sparkSession)), coded).withColumn("_new", judged)
+    schema = StructType([*keys, StructField("seq", LongType()), StructField("text", StringType()), StructField("start", IntegerType()),
                          StructField("end", IntegerType()), StructField("script", StringType()), StructField("language", StringType())])
     return rows.mapInArrow(_span_rows, schema)

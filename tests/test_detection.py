@@ -101,3 +101,39 @@ def test_tokens_within_runs(spark):
         fixed = lambda run, main, tokens=tokens: F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
         got = D.split_languages(texts.where(f"id = {i}"), ["id"], detect, tokenize=fixed).orderBy("seq").collect()
         assert [(r["text"], r["language"]) for r in got] == want
+
+
+def test_runs_are_judged_once_and_numbers_start_anew(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "_AT_ONCE", 64)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["ab", "C", " ", ", ", "\u043c\u0438\u0440", "\u6f22", "\u0301", "\ue000", "x", "\U0001f600"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts[3], texts[7] = None, ""
+    starts, scripts = [0, 65, 91, 97, 123, 0x300, 0x370, 0x400, 0x500, 0x4E00, 0xA000, 0xE000, 0xF900], ["Common", "Latin", "Common", "Latin", "Common", "Inherited", "Common", "Cyrillic", "Common", "Han", "Common", "Unknown", "Common"]
+    said = {"Latin": "en", "Cyrillic": "ru", "Han": "zh"}
+    rows = pa.record_batch({"id": pa.array(range(300)), "_text": pa.array(texts, pa.string()), "_main": pa.array([rng.choice(["en", "ru", None]) for _ in texts], pa.string())})
+
+    def spans(most):
+        monkeypatch.setattr(D, "_MOST", most)
+        entries = []
+        coded = []
+        for b in D._coded_runs(["id"], starts, scripts)(iter([rows.slice(0, 100), rows.slice(100)])):
+            new = [[{"script": e["script"], "parts": [{"n": len(e["run"]), "language": said.get(e["script"], "und")}]} for e in r] for r in b.column("_new").to_pylist()]
+            entries += [(e["run"], e["main"]) for r in b.column("_new").to_pylist() for e in r]
+            kind = pa.list_(pa.struct([("script", pa.string()), ("parts", pa.list_(pa.struct([("n", pa.int32()), ("language", pa.string())])))]))
+            coded.append(b.drop_columns(["_new"]).append_column("_new", pa.array(new, kind)))
+        # batches are made anew on the way, here of 7 rows
+        whole = pa.Table.from_batches(coded).combine_chunks()
+        return entries, pa.Table.from_batches(D._span_rows(iter(whole.to_batches(max_chunksize=7)))).to_pylist()
+
+    once, want = spans(1 << 20)
+    assert len(once) == len(set(once)) > 20
+    again, got = spans(5)
+    assert len(again) > len(once) and got == want
+    for i, t in enumerate(texts):
+        own = [r for r in want if r["id"] == i]
+        assert "".join(r["text"] for r in own) == (t or "") and all(t[r["start"] : r["end"]] == r["text"] for r in own)
+        assert [r["seq"] for r in own] == list(range(1, len(own) + 1)) and all(a["language"] != b["language"] for a, b in zip(own, own[1:], strict=False))
