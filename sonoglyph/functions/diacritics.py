@@ -39,6 +39,12 @@ def encoded(text: Column, vocabulary: Column, most: int = MOST) -> Column:
 
 def with_marks(text: Column, labels: Column) -> Column:
     """The text with the marks of each character's label behind it; labels without a mark, and characters beyond the labels, add nothing."""
-    forms = F.create_map(*(F.lit(x) for kv in FORMS.items() if kv[0] not in NO_MARK for x in kv))
+    forms = F.array(*(F.lit("" if k in NO_MARK else FORMS.get(k, "")) for k in range(max(FORMS) + 1)))
+
+    def marked(made: Column) -> Column:
+        n = F.coalesce(F.size(made), F.lit(0))
+        chosen = F.transform(F.slice(characters(text), 1, F.greatest(n, F.lit(0))), lambda c, i: F.concat(c, F.coalesce(F.get(forms, F.get(made, i).try_cast("int")), F.lit(""))))
+        return F.concat(F.array_join(chosen, ""), F.substring(text, F.greatest(n, F.lit(0)) + 1, F.length(text)))
+
     # labels that are made from the text would else be made again for each of its characters
-    return let(labels, lambda made: F.array_join(F.transform(characters(text), lambda c, i: F.concat(c, F.coalesce(F.element_at(forms, F.get(made, i)), F.lit("")))), ""))
+    return let(labels, marked)
